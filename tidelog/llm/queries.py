@@ -7,16 +7,50 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidelog.llm import fertility, jaccard_join, mixing, packing, secret_scan
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tidelog.llm.jaccard_join import jaccard_classes
+def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    spans, counts = F.col("secret_spans"), secret_scan.KINDS[:3]
+    base = F.filter(spans, lambda s: s["kind"] < len(counts))
+    return found.select(
+        "doc_id",
+        *[secret_scan.count_of(spans, k).alias(f"n_{k}") for k in counts],
+        F.sha2(secret_scan.joined(base), 256).alias("base_sha256"),
+        secret_scan.joined(spans).alias("spans"),
+    )
+
+
+def op2_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return mixing.mixed(docs).select("doc_id", F.col("mix_domain").alias("domain"), "lang", "source", F.col("mix_tokens").alias("tokens"), F.col("mix_epoch").alias("epoch"))
 
-    return jaccard_classes(_table(spark, sf_dir, "documents"))
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fertility.fertility(_table(spark, sf_dir, "documents"))
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op9_ngram_jaccard_join,)}
-ORACLES: dict[str, str] = {}
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"))
+
+
+def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_classes(_table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        op1_secret_scans,
+        op2_mixing_sources,
+        op3_quality_rules,
+        op6_packing,
+        op9_ngram_jaccard_join,
+    )
+}
+ORACLES: dict[str, str] = {"op2_mixing_sources": mixing.oracle()}
