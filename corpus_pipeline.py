@@ -1,16 +1,64 @@
-"""The corpus pipeline: STAGES applied to ``documents`` one after another."""
+"""The corpus pipeline: five stages over ``documents``, each written as Parquet and read again for the next.
+
+The stages, in order: quality rules, n-gram Jaccard join, secret scans, mixing to target weights, packing. Each works
+on all rows that its predecessor kept, in its own operator of ``tidelog.llm``; all but the last return the columns
+that they got.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidelog.llm import fertility, jaccard_join, mixing, packing, secret_scan
+from tidelog.llm._common import Scratch
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents that the base rule or their language's fertility bands reject."""
+    return fertility.fertility(docs, carry=docs.columns).where("kept").select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps of each group of near duplicates the document with the smallest id; of equal rows with one id, one."""
+    found = jaccard_join.jaccard_classes(docs.select("doc_id", "text"))
+    keep = found.where("doc_id = component_id or doc_id is null").select(F.col("doc_id").alias("__keep")).distinct()
+    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["__keep"]), "left_semi").select(*docs.columns)
+
+
+def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Overwrites every secret's characters with asterisks; the texts keep their length, and all documents stay."""
+    spans = F.col("secret_spans")
+    found = secret_scan.scan(docs)
+    return found.withColumn("text", F.when(F.size(spans) > 0, secret_scan.masked(F.col("text"), spans)).otherwise(F.col("text"))).select(*docs.columns)
+
+
+def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix reads it: the budget is all tokens, two epochs at most."""
+    return mixing.mixed(docs).select(*docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the packed sequences."""
+    return packing.pack(docs)
+
 
-STAGES: list = []
-#: The stages tokenise with public vocabularies, which SQL can't express.
+STAGES = [
+    ("quality rules", quality_rules),
+    ("n-gram jaccard join", near_duplicates),
+    ("secret scans", secret_scans),
+    ("mixing sources", mixing_sources),
+    ("packing", packed),
+]
+#: The stages tokenise with public vocabularies, which SQL can't express; tests hold them against brute force.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    """The packed pieces of ``documents``; what the stages write stays in the shared folder until the session ends."""
+    docs, scratch = spark.read.parquet(f"{sf_dir}/documents.parquet"), Scratch(spark, "pipeline")
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        docs = scratch.table(stage(spark, docs, sf_dir), f"stage-{k}")
+        if k:
+            scratch.drop(f"stage-{k - 1}")
+    return STAGES[-1][1](spark, docs, sf_dir)
