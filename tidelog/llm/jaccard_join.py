@@ -1,19 +1,19 @@
 """N-gram Jaccard self-join: universe partition and pigeonhole, verified exactly.
 
 A document's set holds its distinct word shingles, as 64-bit hashes. Two sets of sizes a and c whose Jaccard
-similarity is at least t differ in at most (1 - t) / (1 + t) * (a + c) shingles, which is at most
-H(a) = floor((1 - t) / t * a) whatever the partner's size. So, when the universe of shingles is cut into segments,
-at most H(a) segments can look different in the two sets.
-
-* Sizes fall into bands. All sets of a band, and those of the next band that can have a partner below, use the same
-  segments: hash ranges, as many as the band's largest size.
-* A set emits its first H + 1 segments that aren't empty, in one fixed order. If two linked sets shared no emitted
-  segment, the one whose emission ends first would differ from the other in H + 1 segments. That can't be.
-* The order is by cost: shingles that many documents hold (counted over all documents) have segments of their own
-  that come last, so boilerplate makes no candidates unless a set holds little else.
-* The smallest sets, for which H is 1, have one segment, the whole universe, and emit its one-deletion neighbourhood:
-  the set itself and the set without each of its shingles. Where H is 0 only equal sets link.
-* A set that has fewer segments than it must emit (a matter of hash collisions) is compared with all rows, in blocks.
+similarity is at least t share at least o = t / (1 + t) * (a + c) shingles, so at most a - o of the one and c - o of
+the other are without a match.
+
+* The universe of shingles is cut into segments of one shingle each. Larger segments are valid as well, but there a
+  difference on one side spoils the segment for both, so twice as many must be emitted, and families of loosely
+  similar texts then give candidates with the square of their size (measured: 2.06 million pairs instead of 37 thousand).
+* A set emits the first segments that aren't empty, in one fixed order, each with its place. If two linked sets
+  shared none of the first a - o + 1 and c - o + 1, more than a - o shingles would lack a match: that can't be. Which
+  sizes c can be partners, and with them how far a place counts, is decided per pair of sizes.
+* The order is by cost: shingles that many documents hold (counted over all documents) come last, the most common at
+  the very end, so boilerplate makes no candidates unless a set holds little else.
+* In the band of the smallest sets, where one shingle may differ, one segment holds the whole universe, and a set
+  emits its one-deletion neighbourhood: itself and itself without each of its shingles. Below, only equal sets link.
 
 Equal sets are one class from the start. Candidate groups are never expanded into all pairs at once: members are
 compared with a leader and a neighbour first; what is then in one component needs no further pair; the pairs that
@@ -37,13 +37,11 @@ from tidelog.llm.components import components
 
 SHINGLE, PERCENT = 5, 80
 #: A shingle is counted where this many documents of one partition hold it, and is common from this sum on.
-LOCAL_COUNT, COMMON = 3, 12
-#: The most common shingles, at most so many, have segments of their own. Beyond it shingles keep ordinary segments,
-#: which costs candidates but loses no link.
-COMMON_MOST = 200_000
-#: Deficient sets that are compared with all rows at a time.
-BLOCK = 500
-_A, _SEG, _BAND = U64(0x9E3779B97F4A7C15), U64(0xD6E8FEB86659FD93), U64(0xA0761D6478BD642F)
+LOCAL_COUNT, COMMON = 2, 6
+#: The most common shingles, at most so many, come last in the order. Further ones keep ordinary places, which costs
+#: candidates but loses no link.
+COMMON_MOST = 1_000_000
+_A, _SEG = U64(0x9E3779B97F4A7C15), U64(0xD6E8FEB86659FD93)
 
 
 def shingle_sets(column: pa.Array, k: int = SHINGLE) -> Iterator[np.ndarray]:
@@ -79,63 +77,39 @@ class Scheme:
         # from ``one`` on a partner may differ in one shingle, from ``two`` on in two
         self.one, self.two = -(-percent // (100 - percent)), -(-2 * percent // (100 - percent))
 
-    def most_apart(self, size: int) -> int:
-        return (100 - self.percent) * size // self.percent
-
-    def band(self, size: int) -> int:
-        low, j = self.two, 0
-        while size >= 4 * low:
-            low, j = 4 * low, j + 1
-        return j
-
-    def low(self, band: int) -> int:
-        return self.two * 4**band
-
     def deletions(self, tokens: np.ndarray) -> np.ndarray:
         mixed = mix(tokens)
         total = mixed.sum(dtype=U64)
         return mix(np.append(total - mixed, total) ^ _SEG)
 
-    def segments(self, tokens: np.ndarray, band: int, need: int) -> np.ndarray:
-        """At most ``need`` signatures of the segments of ``tokens`` that aren't empty, in the order of cost."""
-        bits = (4 * self.low(band) - 1).bit_length()
-        tail = U64((band + 1) * int(_BAND) & (1 << 64) - 1)
-        plain, rare = np.zeros(0, U64), tokens
-        common = None
-        if len(self.common):
-            at = np.minimum(np.searchsorted(self.common, tokens), len(self.common) - 1)
-            found = self.common[at] == tokens
-            if found.any():
-                common, rare = self.rank[at[found]], tokens[~found]
-        if len(rare):
-            segment = rare >> U64(64 - bits)
-            starts = np.flatnonzero(np.concatenate(([True], segment[1:] != segment[:-1])))
-            to = starts[need] if len(starts) > need else len(rare)
-            starts = starts[:need]
-            plain = mix(np.add.reduceat(mix(rare[:to]), starts) ^ ((segment[starts] + U64(1)) * _SEG) ^ tail)
-        if common is not None and len(plain) < need:
-            last = np.sort(common)[: need - len(plain)]
-            plain = np.concatenate([plain, mix(mix(last.astype(U64)) ^ ~tail)])
-        return plain
-
-    def signatures(self, tokens: np.ndarray) -> tuple[np.ndarray, bool]:
-        """The signatures, and whether the set is deficient: it has too few segments to rely on them."""
+    def ordered(self, tokens: np.ndarray, need: int) -> np.ndarray:
+        """The first ``need`` of ``tokens`` in the order of cost."""
+        if not len(self.common):
+            return tokens[:need]
+        at = np.minimum(np.searchsorted(self.common, tokens), len(self.common) - 1)
+        found = self.common[at] == tokens
+        rare = tokens[~found][:need]
+        if len(rare) == need or not found.any():
+            return rare
+        common = tokens[found][np.argsort(self.rank[at[found]])]
+        return np.concatenate([rare, common[: need - len(rare)]])
+
+    def signatures(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The signatures and the place of each in the order (0 for the one-deletion neighbourhood)."""
         size = len(tokens)
         if size < self.one:
-            return np.zeros(0, U64), False
+            return np.zeros(0, U64), np.zeros(0, np.int32)
         if size < self.two:
-            return self.deletions(tokens), False
-        need = self.most_apart(size) + 1
-        band = self.band(size)
-        out = [self.segments(tokens, band, need)]
-        least = -(-self.percent * size // 100)
-        if least < self.low(band):
-            if band:
-                out.append(self.segments(tokens, band - 1, need))
-            else:
-                out.append(self.deletions(tokens))
-        short = any(len(x) < need for x in out[: 1 + (band > 0)])
-        return np.concatenate(out), short
+            near = self.deletions(tokens)
+            return near, np.zeros(len(near), np.int32)
+        # the smallest partner asks for the most: size - o + 1 with o = percent * size
+        first = self.ordered(tokens, size - -(-self.percent * size // 100) + 1)
+        out, place = [first], [np.arange(len(first), dtype=np.int32)]
+        if -(-self.percent * size // 100) < self.two:  # a partner can be in the smallest band
+            near = self.deletions(tokens)
+            out.append(near)
+            place.append(np.zeros(len(near), np.int32))
+        return np.concatenate(out), np.concatenate(place)
 
 
 def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -200,32 +174,25 @@ def jaccard_classes(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, c
         percent, common = shared.value
         scheme, seen = Scheme(percent, common), set()
         for part in chunks(batches):
-            ids, out, count = part.column(0).to_pylist(), [], []
-            for doc, s in zip(ids, shingle_sets(part.column(1), k), strict=True):
+            out: list[tuple] = []
+            for doc, s in zip(part.column(0).to_pylist(), shingle_sets(part.column(1), k), strict=True):
                 own = (len(s), int(mix(s).sum(dtype=U64))) if len(s) else None
                 if doc is None or own is None or own in seen:  # the first of equal sets in this partition emits
-                    count.append(0)
                     continue
                 seen.add(own)
-                signatures, short = scheme.signatures(s)
-                out.append(_signed(signatures))
-                count.append(len(signatures))
-                if short:
-                    yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([doc], pa.int64())], ["sig", "doc_id"])
+                out.append((doc, len(s), *scheme.signatures(s)))
             if out:
-                owner = np.repeat(np.array([x or 0 for x in ids], np.int64), count)
-                sigs = np.concatenate(out)
-                for at in range(0, len(sigs), 100_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(sigs[at : at + 100_000]), pa.array(owner[at : at + 100_000])], ["sig", "doc_id"])
+                n = [len(x[2]) for x in out]
+                columns = np.concatenate([_signed(x[2]) for x in out]), np.repeat([x[0] for x in out], n), np.repeat(np.array([x[1] for x in out], np.int32), n), np.concatenate([x[3] for x in out])
+                for at in range(0, len(columns[0]), 100_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(c[at : at + 100_000]) for c in columns], ["sig", "doc_id", "n", "place"])
 
     measured = scratch.table(docs.mapInArrow(measure, "doc_id long, n_shingles long, hi long, lo long"), "measured")
-    signed = docs.mapInArrow(sign, "sig long, doc_id long")
-    # Signatures that two documents or more share; one exchange of all signatures. The deficient come with a null one.
+    signed = docs.mapInArrow(sign, "sig long, doc_id long, n int, place int")
+    # Signatures that two documents or more share; one exchange of all signatures.
     w = W.partitionBy("sig")
-    held = signed.withColumns({"least": F.min("doc_id").over(w), "most": F.max("doc_id").over(w)}).where("sig is null or least <> most").select("sig", "doc_id")
+    held = signed.withColumns({"least": F.min("doc_id").over(w), "most": F.max("doc_id").over(w)}).where("least <> most").select("sig", "doc_id", "n", "place")
     held = scratch.table(held, "held")
-    sizes = measured.groupBy("doc_id").agg(F.min("n_shingles").alias("n_min"), F.max("n_shingles").alias("n_max"))
-
     equal = measured.where("n_shingles > 0 and doc_id is not null").groupBy("hi", "lo").agg(F.min("doc_id").alias("a"))
     equal = measured.where("n_shingles > 0").join(equal, ["hi", "lo"]).where("a <> doc_id").select("a", F.col("doc_id").alias("b")).distinct()
     links, tried = scratch.table(equal, "equal"), None
@@ -257,24 +224,23 @@ def jaccard_classes(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, c
     # Rounds: leaders and neighbours in a part of the groups, then in all that still hold several components, then
     # every remaining pair that would join two components.
     for step in ("part", "all", "rest"):
-        members = held.where("sig is not null" + (" and pmod(sig, 8) = 0" if step == "part" else ""))
+        members = held.where("pmod(sig, 8) = 0") if step == "part" else held
         members = members.join(state.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
         w = W.partitionBy("sig")
-        members = members.withColumns({"low": F.min("component").over(w), "high": F.max("component").over(w)}).where("low <> high").select("sig", "doc_id", "component")
-        members = members.join(sizes, "doc_id")
-        near = (F.col("a_max") * 100 >= F.col("b_min") * percent) & (F.col("b_max") * 100 >= F.col("a_min") * percent)
+        members = members.withColumns({"low": F.min("component").over(w), "high": F.max("component").over(w)}).where("low <> high").drop("low", "high")
+        # the places must lie within the parts that these two sizes ask for
+        share = f"({percent} * (a.n + b.n) + {99 + percent}) div {100 + percent}"
+        near = F.expr(f"a.n - a.place >= {share} and b.n - b.place >= {share} and a.component <> b.component")
         if step == "rest":
-            members = scratch.table(members, "rest-members")
-            a, b = (members.select("sig", *[F.col(c).alias(f"{x}{n}") for c, n in (("doc_id", ""), ("component", "_component"), ("n_min", "_min"), ("n_max", "_max"))]) for x in "ab")
-            pairs = a.join(b, (a["sig"] == b["sig"]) & (F.col("a") < F.col("b")) & (F.col("a_component") != F.col("b_component"))).where(near).select("a", "b").distinct()
+            whole = scratch.table(members.select("sig", F.struct("doc_id", "component", "n", "place").alias("a")), "rest-members")
+            pairs = whole.join(whole.select(F.col("sig").alias("sig_b"), F.col("a").alias("b")), F.expr("sig = sig_b and a.doc_id < b.doc_id") & near)
         else:
             # members of a component stand together, so the neighbour before may be of another one
-            own = F.struct("component", "n_min", "n_max", "doc_id")
+            own = F.struct("doc_id", "component", "n", "place")
             order = W.partitionBy("sig").orderBy(F.xxhash64("component", F.lit(step)), "component", "doc_id")
-            paired = members.withColumns({"own": own, "leader": F.first(own).over(order), "before": F.lag(own).over(order)}).where("before is not null")
-            paired = paired.select("own", F.explode(F.array("leader", "before")).alias("other")).where("own.component <> other.component")
-            paired = paired.select(*[F.when(F.col("own.doc_id") < F.col("other.doc_id"), F.col(f"{x}.{c}")).otherwise(F.col(f"{y}.{c}")).alias(f"{n}{m}") for n, x, y in (("a", "own", "other"), ("b", "other", "own")) for c, m in (("doc_id", ""), ("n_min", "_min"), ("n_max", "_max"))])
-            pairs = paired.where(near).select("a", "b").distinct()
+            paired = members.withColumns({"a": own, "leader": F.first(own).over(order), "before": F.lag(own).over(order)}).where("before is not null")
+            pairs = paired.select("a", F.explode(F.array("leader", "before")).alias("b")).where(near)
+        pairs = pairs.select(F.least("a.doc_id", "b.doc_id").alias("a"), F.greatest("a.doc_id", "b.doc_id").alias("b")).distinct()
         if tried is not None:
             pairs = pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")
         found = verified(pairs, step)
@@ -285,27 +251,6 @@ def jaccard_classes(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, c
         links = links.unionAll(new)
         state = components(links, scratch, f"c-{step}")
 
-    deficient = held.where("sig is null").select("doc_id").distinct()
-    if not deficient.isEmpty():
-        links = links.unionAll(scratch.table(_against_all(docs, deficient, k, percent), "deficient"))
-        state = components(links, scratch, "c-deficient")
     out = measured.join(state.withColumnRenamed("id", "doc_id"), "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
-
-def _against_all(docs: DataFrame, ids: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links of the documents ``ids`` with all rows: blocks of BLOCK sets go to the tasks that hold the rows."""
-    spark, out = docs.sparkSession, None
-    todo = [r[0] for r in ids.orderBy("doc_id").toLocalIterator()]
-    for at in range(0, len(todo), BLOCK):
-        rows = docs.where(F.col("doc_id").isin(todo[at : at + BLOCK])).toLocalIterator()
-        block = spark.sparkContext.broadcast([(r.doc_id, next(shingle_sets(pa.array([r.text], pa.string()), k))) for r in rows])
-
-        def compare(batches, block=block):
-            for part in chunks(batches):
-                pairs = [(x, d) for d, s in zip(part.column(0).to_pylist(), shingle_sets(part.column(1), k), strict=True) for x, t in block.value if d is not None and d != x and _linked(s, t, percent)]
-                yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], ["a", "b"])
-
-        found = docs.mapInArrow(compare, "a long, b long")
-        out = found if out is None else out.unionAll(found)
-    return out
