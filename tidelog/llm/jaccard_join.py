@@ -17,7 +17,10 @@ the other are without a match.
 
 Equal sets are one class from the start. Candidate groups are never expanded into all pairs at once: members are
 compared with a leader and a neighbour first; what is then in one component needs no further pair; the pairs that
-still join different components are compared last. Every pair is verified with whole sets.
+still join different components are compared last. A pair whose parity bitmaps (1024 bits, one flipped by each
+shingle) differ in more bits than linked sets can differ in shingles is dropped; every other one is verified with
+whole sets. Texts are not shuffled: a bit table of the ids that are needed, of bounded size, picks the rows whose sets
+are made.
 """
 
 from __future__ import annotations
@@ -41,6 +44,8 @@ LOCAL_COUNT, COMMON = 2, 6
 #: The most common shingles, at most so many, come last in the order. Further ones keep ordinary places, which costs
 #: candidates but loses no link.
 COMMON_MOST = 1_000_000
+#: Longs of a parity bitmap; bits of the table of needed ids: sixteen for each id, from 2 ** 20 up to 2 ** 26.
+BITMAP, LEAST_BITS, MOST_BITS = 16, 20, 26
 _A, _SEG = U64(0x9E3779B97F4A7C15), U64(0xD6E8FEB86659FD93)
 
 
@@ -161,14 +166,18 @@ def jaccard_classes(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, c
     common = common_shingles(docs, k, most=common_most)
     shared = spark.sparkContext.broadcast((percent, common))
 
+    maps = [f"m{i}" for i in range(BITMAP)]
+
     def measure(batches):
         for part in chunks(batches):
-            n, hi, lo = [], [], []
+            n, hi, lo, bits = [], [], [], []
             for s in shingle_sets(part.column(1), k):
                 n.append(len(s))
+                parity = np.bincount((s & U64(64 * BITMAP - 1)).astype(np.int64), minlength=64 * BITMAP) & 1
+                bits.append(np.packbits(parity.astype(np.uint8)).view(np.int64))
                 hi.append(int(mix(s ^ _SEG).sum(dtype=U64)) if len(s) else 0)
                 lo.append(int(mix(s).sum(dtype=U64)) if len(s) else 0)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(_signed(np.array(hi, U64))), pa.array(_signed(np.array(lo, U64)))], ["doc_id", "n_shingles", "hi", "lo"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(_signed(np.array(hi, U64))), pa.array(_signed(np.array(lo, U64))), *map(pa.array, np.stack(bits, axis=1))], ["doc_id", "n_shingles", "hi", "lo", *maps])
 
     def sign(batches):
         percent, common = shared.value
@@ -187,22 +196,23 @@ def jaccard_classes(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, c
                 for at in range(0, len(columns[0]), 100_000):
                     yield pa.RecordBatch.from_arrays([pa.array(c[at : at + 100_000]) for c in columns], ["sig", "doc_id", "n", "place"])
 
-    measured = scratch.table(docs.mapInArrow(measure, "doc_id long, n_shingles long, hi long, lo long"), "measured")
+    measured = scratch.table(docs.mapInArrow(measure, "doc_id long, n_shingles long, hi long, lo long, " + ", ".join(f"{m} long" for m in maps)), "measured")
+    # of an id with several texts every bitmap passes, as nulls do
+    bitmaps = measured.groupBy("doc_id").agg(F.when(F.countDistinct("hi", "lo") == 1, F.first(F.struct(*maps))).alias("bits"))
     signed = docs.mapInArrow(sign, "sig long, doc_id long, n int, place int")
     # Signatures that two documents or more share; one exchange of all signatures.
     w = W.partitionBy("sig")
     held = signed.withColumns({"least": F.min("doc_id").over(w), "most": F.max("doc_id").over(w)}).where("least <> most").select("sig", "doc_id", "n", "place")
     held = scratch.table(held, "held")
     equal = measured.where("n_shingles > 0 and doc_id is not null").groupBy("hi", "lo").agg(F.min("doc_id").alias("a"))
-    equal = measured.where("n_shingles > 0").join(equal, ["hi", "lo"]).where("a <> doc_id").select("a", F.col("doc_id").alias("b")).distinct()
+    equal = measured.where("n_shingles > 0").join(equal, ["hi", "lo"]).where("a <> doc_id").select("a", F.col("doc_id").alias("b"))
     links, tried = scratch.table(equal, "equal"), None
     state = components(links, scratch, "c0")
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         """(a, b, linked) of new pairs, each with its whole sets."""
         pairs = scratch.table(pairs, f"{name}-pairs")
-        needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        texts = docs.join(needed, docs["doc_id"] == needed["id"], "left_semi")
+        texts = _needed(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")))
 
         def sets(batches):
             for part in chunks(batches):
@@ -231,16 +241,25 @@ def jaccard_classes(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, c
         # the places must lie within the parts that these two sizes ask for
         share = f"({percent} * (a.n + b.n) + {99 + percent}) div {100 + percent}"
         near = F.expr(f"a.n - a.place >= {share} and b.n - b.place >= {share} and a.component <> b.component")
+        flipped = " + ".join(f"bit_count(a.bits.{m} ^ b.bits.{m})" for m in maps)
+        close = F.expr(f"coalesce({flipped}, 0) <= ({100 - percent} * (a.n + b.n)) div {100 + percent}")
         if step == "rest":
-            whole = scratch.table(members.select("sig", F.struct("doc_id", "component", "n", "place").alias("a")), "rest-members")
-            pairs = whole.join(whole.select(F.col("sig").alias("sig_b"), F.col("a").alias("b")), F.expr("sig = sig_b and a.doc_id < b.doc_id") & near)
+            members = members.join(bitmaps, "doc_id")
+            whole = scratch.table(members.select("sig", F.struct("doc_id", "component", "n", "place", "bits").alias("a")), "rest-members")
+            pairs = whole.join(whole.select(F.col("sig").alias("sig_b"), F.col("a").alias("b")), F.expr("sig = sig_b and a.doc_id < b.doc_id") & near & close)
+            pairs = pairs.select(F.col("a.doc_id").alias("a"), F.col("b.doc_id").alias("b")).distinct()
         else:
             # members of a component stand together, so the neighbour before may be of another one
             own = F.struct("doc_id", "component", "n", "place")
-            order = W.partitionBy("sig").orderBy(F.xxhash64("component", F.lit(step)), "component", "doc_id")
+            order = W.partitionBy("sig").orderBy(F.xxhash64("component"), "component", "doc_id")
             paired = members.withColumns({"a": own, "leader": F.first(own).over(order), "before": F.lag(own).over(order)}).where("before is not null")
-            pairs = paired.select("a", F.explode(F.array("leader", "before")).alias("b")).where(near)
-        pairs = pairs.select(F.least("a.doc_id", "b.doc_id").alias("a"), F.greatest("a.doc_id", "b.doc_id").alias("b")).distinct()
+            others = F.array("leader") if step == "part" else F.array("leader", "before")
+            pairs = paired.select("a", F.explode(others).alias("b")).where(near)
+            pairs = pairs.select(*[F.when(F.col("a.doc_id") < F.col("b.doc_id"), F.struct(f"{x}.doc_id", f"{x}.n")).otherwise(F.struct(f"{y}.doc_id", f"{y}.n")).alias(z) for z, x, y in (("a", "a", "b"), ("b", "b", "a"))]).distinct()
+            for z in "ab":
+                known = bitmaps.select(F.col("doc_id").alias(f"id_{z}"), F.col("bits").alias(f"bits_{z}"))
+                pairs = pairs.join(known, F.col(f"{z}.doc_id") == F.col(f"id_{z}")).withColumn(z, F.struct(f"{z}.doc_id", f"{z}.n", F.col(f"bits_{z}").alias("bits"))).select("a", "b")
+            pairs = pairs.where(close).select(F.col("a.doc_id").alias("a"), F.col("b.doc_id").alias("b")).distinct()
         if tried is not None:
             pairs = pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")
         found = verified(pairs, step)
@@ -254,3 +273,18 @@ def jaccard_classes(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, c
     out = measured.join(state.withColumnRenamed("id", "doc_id"), "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
+
+def _needed(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is in ``ids`` (id), and a few more, without a shuffle of ``docs``.
+
+    Each id sets one bit of a table of 2 ** bits; the table goes to the tasks in words of 64 bits, of which there are
+    at most 2 ** (MOST_BITS - 6). A fuller table lets more rows through and loses none.
+    """
+    bits = min(MOST_BITS, max(LEAST_BITS, (16 * ids.count()).bit_length()))
+    place = lambda c: F.xxhash64(c).bitwiseAND(F.lit((1 << bits) - 1))
+    at = place(F.col("id"))
+    words = ids.select(at.alias("at")).selectExpr("cast(shiftright(at, 6) as int) word", "shiftleft(1L, cast(at & 63 as int)) bit")
+    words = words.groupBy("word").agg(F.bit_or("bit").alias("held"))
+    rows = docs.withColumn("__at", place(F.col("doc_id"))).withColumn("__word", F.expr("cast(shiftright(__at, 6) as int)"))
+    rows = rows.join(F.broadcast(words), F.col("__word") == F.col("word"))
+    return rows.where("doc_id is not null and (held & shiftleft(1L, cast(__at & 63 as int))) <> 0").select(*docs.columns)
