@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import fertility, jaccard_join, license_scan, mixing, packing, secret_scan, sharding, spotsigs, toxicity
+from tidelog.llm import fertility, jaccard_join, license_scan, mixing, packing, secret_scan, sharding, spotsigs, toxicity, weak_labels
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +39,11 @@ def op4_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(_table(spark, sf_dir, "documents"))
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return weak_labels.score(docs, *weak_labels.fit(docs))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
@@ -68,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op2_mixing_sources,
         op3_quality_rules,
         op4_license_scans,
+        op5_quality_classifier,
         op6_packing,
         op7_document_fingerprints,
         op8_toxicity,

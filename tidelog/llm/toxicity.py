@@ -24,10 +24,12 @@ from pyspark.sql import functions as F
 from tidelog.llm._text import Words, chunks, spread
 
 #: Labelled rows that the classifier is fitted on at most.
-TRAIN_ROWS = 12_000
+TRAIN_ROWS = 8000
 #: Words of the model at most, and the training rows in which a word must be seen.
 LEXICON, LEAST_ROWS = 400, 5
 THRESHOLD = 0.7
+#: Lengths of the stems of words that are features beside the words.
+STEMS = (4, 5)
 ALPHABET = "abcdefghijklmnopqrstuvwxyzäöüßàâçèéêëîïôùûáíñóú"
 #: Readings of signs. A sign read as a letter costs SUBSTITUTE nats, a skipped separator or repeat costs SKIP.
 READINGS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "li", "+": "t", "(": "c", "<": "c", "€": "e", "£": "l"}
@@ -85,6 +87,11 @@ def _hash(word: str) -> int:
     return xxhash.xxh3_64_intdigest(word.encode()) >> 1
 
 
+def _features(found: list[str]) -> list[int]:
+    """Hashes of readings and of the stems they begin with, which tell inflected and compound words."""
+    return [_hash(x) for w in found for x in (w, *("^" + w[:n] for n in STEMS if len(w) >= n))]
+
+
 def readings(word: str, model: np.ndarray) -> list[str]:
     """What a word of the text may say: itself in lower case without outer punctuation, or its restored readings."""
     word = word.lower()
@@ -112,14 +119,14 @@ class Model:
 
 
 def _spelled(words: Words, characters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, hash) of the distinct readings of each row's words and of its runs of single letters."""
+    """(row, hash) of the distinct features of each row's words and of its runs of single letters."""
     per, flat = np.zeros(len(words.dictionary), np.int64), []
     single = np.zeros(len(words.dictionary), bool)
     text = [w.decode() for w in words.dictionary]
     for i, w in enumerate(text):
-        own = readings(w, characters)
+        own = _features(readings(w, characters))
         per[i] = len(own)
-        flat += [_hash(x) for x in own]
+        flat += own
         single[i] = len(w) == 1
     hashes, begin = np.array(flat, np.int64), np.cumsum(per) - per
     row, code = words.rows(), words.codes
@@ -134,7 +141,7 @@ def _spelled(words: Words, characters: np.ndarray) -> tuple[np.ndarray, np.ndarr
                 x, y = max(a, words.first[lo]), min(b, words.first[lo + 1])
                 if 3 <= y - x <= LONGEST:
                     joined = "".join(text[c] for c in code[x:y])
-                    extra += [(int(lo), _hash(r)) for r in readings(joined, characters)]
+                    extra += [(int(lo), h) for h in _features(readings(joined, characters))]
         if extra:
             rows, found = np.append(rows, [e[0] for e in extra]), np.append(found, [e[1] for e in extra])
     if not len(rows):
