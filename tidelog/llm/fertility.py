@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidelog.llm._common import ship
 from tidelog.llm._text import U64, Words, chunks, mix, spread, sums
 
 #: Name of the vocabulary file of the public tokenizers; see ``vocabulary``.
@@ -153,6 +154,7 @@ def fertility(docs: DataFrame, vocabulary_path: str | None = None, bands: dict[s
     the text's script. Repeated rows each return a row; an empty table returns none; a column of ``docs`` that has
     the name of a measure must not be in ``carry``. Nothing is shuffled.
     """
+    ship(docs.sparkSession)
     path, bands, carry = vocabulary_path or vocabulary(), bands or BANDS, carry or ["doc_id"]
     named = [F.col(c).alias(f"c{i}") for i, c in enumerate(carry)]
     rows = docs.select(F.col("text").alias("t"), F.col("lang").cast("string").alias("l"), *named)

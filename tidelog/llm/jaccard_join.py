@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidelog.llm._common import Scratch
+from tidelog.llm._common import Scratch, ship
 from tidelog.llm._text import U64, Words, chunks, mix
 from tidelog.llm.components import components
 
@@ -130,6 +130,7 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 def common_shingles(docs: DataFrame, k: int, local: int = LOCAL_COUNT, least: int = COMMON, most: int = COMMON_MOST) -> np.ndarray:
     """Shingles that many documents hold, the least common first; counts cover all documents."""
+    ship(docs.sparkSession)
 
     def count(batches):
         seen: set[int] = set()
@@ -161,6 +162,7 @@ def jaccard_classes(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, c
     document whose links are those of all its texts. An empty table returns no rows.
     """
     spark = docs.sparkSession
+    ship(spark)
     scratch = Scratch(spark, "jaccard")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     common = common_shingles(docs, k, most=common_most)

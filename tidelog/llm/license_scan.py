@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidelog.llm._common import ship
 from tidelog.llm._text import chunks, raw
 from tidelog.llm.license_rules import BASE, Rule, compiled, rules
 
@@ -87,6 +88,7 @@ def scan(docs: DataFrame, found: list[Rule] | None = None, with_detections: bool
     count as notices. Null and empty texts have no words, null first and last words, empty labels and a score of 0.
     Repeated rows each return a row; an empty table returns none. Nothing is shuffled.
     """
+    ship(docs.sparkSession)
     found = rules() if found is None else found
 
     def run(batches):

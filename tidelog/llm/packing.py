@@ -22,6 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidelog.llm._common import ship
 from tidelog.llm._text import chunks, raw, spread, sums
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -216,6 +217,7 @@ def pack(docs: DataFrame, limits: Limits = Limits(), prompt_share: int = 8, prom
     ``prompt_most``, are its prompt, which bears no loss. Repeated rows, and rows without a doc_id, are documents of
     their own. Very long texts give whole sequences as they are read. An empty table gives no pieces.
     """
+    ship(docs.sparkSession)
     path = vocabulary_path or vocabulary()
 
     def run(batches):

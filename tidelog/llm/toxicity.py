@@ -21,15 +21,20 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidelog.llm._common import ship
 from tidelog.llm._text import Words, chunks, spread
 
 #: Labelled rows that the classifier is fitted on at most.
 TRAIN_ROWS = 8000
 #: Words of the model at most, and the training rows in which a word must be seen.
 LEXICON, LEAST_ROWS = 400, 5
+#: Log-odds of a word of the model at least.
+LEAST_ODDS = 2.5
 THRESHOLD = 0.7
 #: Lengths of the stems of words that are features beside the words.
 STEMS = (4, 5)
+#: Flips bits of a feature's hash where the feature is seen more than once in a text.
+AGAIN = 0x2545F4914F6CDD1D
 ALPHABET = "abcdefghijklmnopqrstuvwxyzäöüßàâçèéêëîïôùûáíñóú"
 #: Readings of signs. A sign read as a letter costs SUBSTITUTE nats, a skipped separator or repeat costs SKIP.
 READINGS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "li", "+": "t", "(": "c", "<": "c", "€": "e", "£": "l"}
@@ -119,7 +124,7 @@ class Model:
 
 
 def _spelled(words: Words, characters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, hash) of the distinct features of each row's words and of its runs of single letters."""
+    """(row, hash) of the features of each row's words and of its runs of single letters, in order of rows."""
     per, flat = np.zeros(len(words.dictionary), np.int64), []
     single = np.zeros(len(words.dictionary), bool)
     text = [w.decode() for w in words.dictionary]
@@ -149,7 +154,12 @@ def _spelled(words: Words, characters: np.ndarray) -> tuple[np.ndarray, np.ndarr
     order = np.lexsort((found, rows))
     rows, found = rows[order], found[order]
     new = np.concatenate(([True], (rows[1:] != rows[:-1]) | (found[1:] != found[:-1])))
-    return rows[new], found[new]
+    # a feature that is seen again in its row is one more feature
+    again = np.diff(np.append(np.flatnonzero(new), len(new))) > 1
+    rows, found = rows[new], found[new]
+    rows, found = np.append(rows, rows[again]), np.append(found, found[again] ^ AGAIN)
+    order = np.argsort(rows, kind="stable")
+    return rows[order], found[order]
 
 
 def character_model(docs: DataFrame) -> np.ndarray:
@@ -188,6 +198,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     Without labelled training rows, or without both labels among them, every text has the score of the label's share.
     """
     spark = docs.sparkSession
+    ship(spark)
     characters = character_model(docs)
     sample = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).select(F.col("doc_id").alias("labelled"), F.col("toxic").cast("int").alias("toxic"))
     sample = sample.orderBy(F.xxhash64("labelled"), "labelled", "toxic").limit(rows)
@@ -218,8 +229,9 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     p, q = (bad + 0.5) / (toxic.sum() + 1), (good + 0.5) / (len(toxic) - toxic.sum() + 1)
     odds = np.log(p / (1 - p)) - np.log(q / (1 - q))
     z = odds / np.sqrt(1 / (bad + 0.5) + 1 / (good + 0.5))
-    chosen = np.flatnonzero((bad + good >= min(LEAST_ROWS, len(toxic) // 20 + 2)) & (z > 3))
-    chosen = chosen[np.argsort(-z[chosen], kind="stable")][:LEXICON]
+    # words that tell: clearly (z), strongly (odds), and by what they explain together (share of toxic rows times odds)
+    chosen = np.flatnonzero((bad + good >= min(LEAST_ROWS, len(toxic) // 20 + 2)) & (z > 3) & (odds > LEAST_ODDS))
+    chosen = chosen[np.argsort(-(bad * odds)[chosen], kind="stable")][:LEXICON]
     if not len(chosen):
         return empty
     chosen = np.sort(chosen)
@@ -230,9 +242,9 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     x[row[known], place[code[known]]] = 1
     x[:, -1] = 1
     beta = np.zeros(x.shape[1])
-    ridge = np.full(x.shape[1], 0.02)
+    ridge = np.full(x.shape[1], 0.001)
     ridge[-1] = 1e-6
-    for _ in range(30):  # Newton steps of the penalised likelihood
+    for _ in range(60):  # Newton steps of the penalised likelihood
         mu = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
         step = np.linalg.solve((x * (mu * (1 - mu))[:, None]).T @ x + np.diag(ridge), x.T @ (toxic - mu) - ridge * beta)
         beta += step
@@ -247,6 +259,7 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
     Null and empty texts have the score of a text without telling words. A null doc_id isn't held out. Repeated rows
     each return a row; an empty table returns none. Nothing is shuffled.
     """
+    ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):

@@ -20,6 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidelog.llm._common import ship
 from tidelog.llm._text import Words, chunks, spread, sums
 
 #: Rows that the scorer is fitted on at most, and its hashed features.
@@ -182,6 +183,7 @@ def train(rows: int, row: np.ndarray, feature: np.ndarray, weight: np.ndarray, t
 
 def fit(docs: DataFrame, rows: int = TRAIN_ROWS, size: int = FEATURES) -> tuple[LabelModel, Scorer]:
     """Both models from ``docs`` (doc_id, text). An empty table gives models that call everything good."""
+    ship(docs.sparkSession)
 
     def count(batches):
         for part in chunks(batches, 0):
@@ -228,6 +230,7 @@ def score(docs: DataFrame, label_model: LabelModel, scorer: Scorer, threshold: f
     ``score`` the scorer's. Null and empty texts are scored as texts without words. Repeated rows each return a row;
     an empty table returns none. Nothing is shuffled.
     """
+    ship(docs.sparkSession)
     size = len(scorer.weights)
     shared = docs.sparkSession.sparkContext.broadcast((label_model, scorer))
     letters = np.array(list("-gb"))
