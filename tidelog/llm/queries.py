@@ -81,4 +81,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_sharding,
     )
 }
-ORACLES: dict[str, str] = {"op2_mixing_sources": mixing.oracle()}
+#: All pairs that share a shingle, and the closure of their links: right, but only for small tables.
+_JACCARD = r"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') ws from documents),
+s as (select distinct doc_id, unnest(case when len(ws) >= 5 then list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) when len(ws) > 0 then ['|' || array_to_string(ws, ' ')] else [] end) shingle from w),
+n as (select doc_id, count(*) n from s group by doc_id),
+p as (select a.doc_id a, b.doc_id b, count(*) shared from s a join s b on a.shingle = b.shingle and a.doc_id <> b.doc_id group by all),
+e as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * shared >= 80 * (x.n + y.n - shared)),
+r as (select doc_id a, doc_id b from documents union select r.a, e.b from r join e on r.b = e.a),
+c as (select a doc_id, min(b) component_id from r group by a)
+select d.doc_id, coalesce(n.n, 0) n_shingles, c.component_id from documents d left join n on n.doc_id = d.doc_id left join c on c.doc_id = d.doc_id
+"""
+ORACLES: dict[str, str] = {"op2_mixing_sources": mixing.oracle(), "op9_ngram_jaccard_join": _JACCARD}
