@@ -28,6 +28,8 @@ from tidelog.llm._text import chunks, raw, spread, sums
 VOCABULARY = "byte_bpe_50k.json"
 #: Pieces that wait before they are packed.
 POOL = 4096
+#: Parts of text whose ids a worker remembers at most, about 100 MB.
+REMEMBERED = 400_000
 #: The shortest piece that a cut leaves in a sequence, and padding that is not worth a cut.
 LEAST_CUT, PADDING = 16, 24
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, segment int, loss_tokens long"
@@ -51,6 +53,7 @@ def vocabulary(name: str = VOCABULARY) -> str:
 
 
 _LOADED: dict = {}
+_KNOWN: dict[str, dict[str, list[int]]] = {}
 
 
 def _tokenizer(path: str):
@@ -63,6 +66,23 @@ def _tokenizer(path: str):
     return _LOADED[path]
 
 
+def _encoded(parts: list[str], often: np.ndarray, path: str) -> list[list[int]]:
+    """The ids of each part of text; those that are seen often are remembered for the worker's next batches."""
+    known = _KNOWN.setdefault(path, {})
+    if len(known) > REMEMBERED:
+        known.clear()
+    ids = [known.get(p) for p in parts]
+    new = [i for i, x in enumerate(ids) if x is None]
+    tokenizer = _tokenizer(path)
+    for at in range(0, len(new), 20_000):
+        block = new[at : at + 20_000]
+        for i, x in zip(block, tokenizer.encode_batch_fast([parts[i] for i in block], add_special_tokens=False), strict=True):
+            ids[i] = x.ids
+            if often[i]:
+                known[parts[i]] = ids[i]
+    return ids
+
+
 def encode(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     """The ids of all texts (null: empty) one after another, and how many each has, without an end id.
 
@@ -92,9 +112,7 @@ def encode(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     units = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(np.append(starts, n).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
     coded = units.dictionary_encode()
     codes, distinct = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.cast(pa.large_string()).to_pylist()
-    tokenizer, ids = _tokenizer(path), []
-    for i in range(0, len(distinct), 20_000):
-        ids += [x.ids for x in tokenizer.encode_batch_fast(distinct[i : i + 20_000], add_special_tokens=False)]
+    ids = _encoded(distinct, np.bincount(codes, minlength=len(distinct)) > 1, path)
     per = np.fromiter(map(len, ids), np.int64, len(ids))
     flat = np.fromiter((x for y in ids for x in y), np.int32, int(per.sum()))
     begin = np.cumsum(per) - per
