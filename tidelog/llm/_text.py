@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,6 +14,17 @@ CHUNK_BYTES = 8 << 20
 #: The separators of ``[^\x20\x09-\x0D]+``.
 BLANKS = bytes([0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D])
 U64 = np.uint64
+try:
+    _LIBC = ctypes.CDLL("libc.so.6")
+except OSError:  # another C library
+    _LIBC = None
+
+
+def _trim() -> None:
+    """Gives memory that is free again back to the system; the C library and Arrow keep it otherwise."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
 
 
 def chunks(batches: Iterator[pa.RecordBatch], text: int = 1, most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
@@ -28,6 +40,7 @@ def chunks(batches: Iterator[pa.RecordBatch], text: int = 1, most: int = CHUNK_B
             to = max(at + 1, int(np.searchsorted(ends, base + most, side="right")))
             yield batch.slice(at, to - at)
             at = to
+            _trim()
 
 
 def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

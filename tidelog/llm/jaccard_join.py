@@ -46,6 +46,8 @@ LOCAL_COUNT, COMMON = 2, 6
 COMMON_MOST = 1_000_000
 #: Longs of a parity bitmap; bits of the table of needed ids: sixteen for each id, from 2 ** 20 up to 2 ** 26.
 BITMAP, LEAST_BITS, MOST_BITS = 16, 20, 26
+#: Rows of an Arrow batch: a pair of sets takes about 9 KB.
+BATCH_ROWS, _BATCH_ROWS = 2000, "spark.sql.execution.arrow.maxRecordsPerBatch"
 _A, _SEG = U64(0x9E3779B97F4A7C15), U64(0xD6E8FEB86659FD93)
 
 
@@ -160,7 +162,20 @@ def jaccard_classes(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, c
     Null and empty texts, and texts without words, have empty sets, which link with nothing. Repeated rows each
     return a row. A null doc_id has no links and its own null component. Ids that occur with several texts are one
     document whose links are those of all its texts. An empty table returns no rows.
+
+    Arrow batches are small meanwhile, for the sake of pairs of whole sets; all Python work is done on return.
     """
+    conf = docs.sparkSession.conf
+    before = conf.get(_BATCH_ROWS)
+    conf.set(_BATCH_ROWS, str(min(int(before), BATCH_ROWS) if int(before) > 0 else BATCH_ROWS))
+    try:
+        return _classes(docs, k, percent, common_most)
+    finally:
+        conf.set(_BATCH_ROWS, before)
+
+
+def _classes(docs: DataFrame, k: int, percent: int, common_most: int) -> DataFrame:
+    """``jaccard_classes`` while Arrow batches are small."""
     spark = docs.sparkSession
     ship(spark)
     scratch = Scratch(spark, "jaccard")
@@ -224,7 +239,7 @@ def jaccard_classes(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, c
 
         def judge(batches):
             for batch in batches:
-                yes = [_linked(np.frombuffer(x, U64), np.frombuffer(y, U64), percent) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+                yes = [_linked(np.frombuffer(x.as_buffer(), U64), np.frombuffer(y.as_buffer(), U64), percent) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(yes, pa.bool_())], ["a", "b", "linked"])
 
         a, b = (known.select(F.col("doc_id").alias(f"{x}_id"), F.col("set").alias(f"{x}_set")) for x in "ab")
