@@ -10,7 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are worked on at once, whatever size the batches have.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 3 << 20
 #: The separators of ``[^\x20\x09-\x0D]+``.
 BLANKS = bytes([0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D])
 U64 = np.uint64

@@ -28,8 +28,8 @@ from tidelog.llm._text import chunks, raw, spread, sums
 VOCABULARY = "byte_bpe_50k.json"
 #: Pieces that wait before they are packed.
 POOL = 4096
-#: Parts of text whose ids a worker remembers at most, about 100 MB.
-REMEMBERED = 400_000
+#: Parts of text whose ids a worker remembers at most, about 40 MB; bytes of text that are encoded at once.
+REMEMBERED, ENCODED_BYTES = 150_000, 6 << 20
 #: The shortest piece that a cut leaves in a sequence, and padding that is not worth a cut.
 LEAST_CUT, PADDING = 16, 24
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, segment int, loss_tokens long"
@@ -257,7 +257,7 @@ def pack(docs: DataFrame, limits: Limits = Limits(), prompt_share: int = 8, prom
                 yield pa.RecordBatch.from_arrays(arrays, names)
 
         packer = Packer(limits, emit)
-        for part in chunks(batches):
+        for part in chunks(batches, most=ENCODED_BYTES):
             flat, n = encode(part.column(1), path)
             at = np.cumsum(n) - n
             for doc, a, k in zip(part.column(0).to_pylist(), at.tolist(), n.tolist(), strict=True):
