@@ -69,3 +69,20 @@ def test_edges(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert [r.predicted for r in X.score(docs, X.fit(docs, none)).collect()] == [0, 0, 0]
     assert X.score(docs.limit(0), X.fit(docs.limit(0), none)).collect() == []
+
+
+def test_disguises_of_any_length(spark):
+    rows = data()
+    rnd = random.Random(8)
+    clean = " ".join(t for _, t, x in rows[:40] if not x).split(" ")
+    spelled = lambda words: " ".join("".join(words))
+    long = [rnd.choice(clean) for _ in range(60)]
+    toxic = [
+        "er on an a s t u p i d in", "he i d i o t m o r o n th", "er " + spelled([*long[:30], "stupid", *long[30:], "moron", *long]),
+        "on stu" + "u" * 90 + "pid an mo" + "r" * 70 + "on", "th " + "-".join("".join([*long[:20], "idiot", *long[20:40], "moron"])),
+    ]
+    texts = toxic + [spelled(long), "x " * 3000, "1 2 3 4 5 6 7 8 9 " * 40]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(9000 + i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 0, x) for i, _, x in rows], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r.predicted for r in X.score(docs, X.fit(docs, labels)).collect()}
+    assert [got[9000 + i] for i in range(len(texts))] == [1] * len(toxic) + [0, 0, 0]

@@ -2,8 +2,9 @@
 
 A word that may be disguised (digits and signs for letters, letters apart, letters repeated) becomes a lattice of the
 letters each character can stand for. Viterbi decoding finds its best readings under a bigram model of characters,
-whose counts are gathered from the words of all documents. The text so restored is scored by a logistic model over
-the words that tell toxic from other texts in the labelled training rows.
+whose counts are gathered from the words of all documents. Runs of single letters, and words that stay long when their
+repeats are collapsed, have breaks between words in their lattice and may be of any length. The text so restored is
+scored by a logistic model over the words that tell toxic from other texts in the labelled training rows.
 
 The classifier is fitted on a bounded sample, TRAIN_ROWS labelled training rows by the least hash of their ids; only
 hashes of those rows' words reach the driver. Labels, languages, sources and ids are never inputs of a score.
@@ -45,13 +46,16 @@ _PLAIN = re.compile(rf"[{ALPHABET}]+")
 _OUTER = re.compile(r"^[\"'(\[{<.,;:?*#%&|~`-]+|[\"')\]}>.,;:?!*#%&|~`-]+$")
 _LETTERS = re.compile(rf"[{ALPHABET}]")
 _TRIPLE = re.compile(r"(.)\1\1")
+_REPEATS = re.compile(r"(.)\1{3,}", re.DOTALL)
+#: Stretches of characters that can be spelled letters.
+_SPELLED = re.compile(f"[{ALPHABET}{re.escape(''.join(READINGS) + SEPARATORS)}]+")
 _INDEX = {c: i for i, c in enumerate(ALPHABET)}
 _EDGE = len(ALPHABET)
 
 
 def suspicious(word: str) -> bool:
     """Whether a lower-case word without its outer punctuation may be disguised."""
-    if len(word) > LONGEST or len(word) < 3:
+    if len(word) < 3:
         return False
     letters = len(_LETTERS.findall(word))
     if letters == len(word):
@@ -88,6 +92,64 @@ def decode(word: str, model: np.ndarray, best: int = BEST) -> list[tuple[float,
     return done[:best]
 
 
+def segments(run: str, model: np.ndarray) -> set[tuple[int, str]]:
+    """(start, letters) of the words, of at most LONGEST characters, in the good segmentations of a run of any length.
+
+    The lattice is that of ``decode`` with breaks between words. A word is returned if the best segmentation with it
+    costs at most MARGIN more than the best of all for each of its two ends. The time is in proportion to the run.
+    """
+    m, n = model.tolist(), len(run)
+    moves = [[(_INDEX[c], c, 0.0)] if c in _INDEX else [(_INDEX[x], x, SUBSTITUTE) for x in READINGS.get(c, "")] for c in run]
+    skips = [c in SEPARATORS or i > 0 and c == run[i - 1] for i, c in enumerate(run)]
+    far = math.inf
+    before: list[dict[int, float]] = [{_EDGE: 0.0}]
+    for i in range(n):
+        after: dict[int, float] = {}
+        for s, cost in before[i].items():
+            if skips[i]:
+                after[s] = min(after.get(s, far), cost + SKIP)
+            for x, _, extra in moves[i]:
+                after[x] = min(after.get(x, far), cost + extra + m[s][x])
+        ends = [cost + m[s][_EDGE] for s, cost in after.items() if s != _EDGE]
+        after[_EDGE] = min([after.get(_EDGE, far), *ends])
+        before.append(after)
+    rest: list[dict[int, float]] = [{}] * n + [{s: m[s][_EDGE] if s != _EDGE else 0.0 for s in before[n]}]
+    for i in range(n - 1, -1, -1):
+        to, own = rest[i + 1], {}
+        for s in sorted(before[i], reverse=True):  # the break's state first
+            cost = to[s] + SKIP if skips[i] else far
+            for x, _, extra in moves[i]:
+                cost = min(cost, extra + m[s][x] + to[x])
+            own[s] = min(cost, m[s][_EDGE] + own[_EDGE]) if s != _EDGE else cost
+        rest[i] = own
+    limit = rest[0][_EDGE] + 2 * MARGIN + 1e-9
+    found: set[tuple[int, str]] = set()
+    for start in range(n):
+        states = {_EDGE: [(before[start][_EDGE], "")]}
+        for i in range(start, min(n, start + LONGEST)):
+            grown: dict[int, list[tuple[float, str]]] = {}
+            for s, paths in states.items():
+                if skips[i] and s != _EDGE:
+                    grown.setdefault(s, []).extend((cost + SKIP, text) for cost, text in paths)
+                for x, letter, extra in moves[i]:
+                    step = extra + m[s][x]
+                    grown.setdefault(x, []).extend((cost + step, text + letter) for cost, text in paths)
+            states = {}
+            for s, paths in grown.items():
+                kept: dict[str, float] = {}
+                for cost, text in sorted(paths):
+                    if cost + rest[i + 1][s] > limit or len(kept) == BEST:
+                        break
+                    kept.setdefault(text, cost)
+                if kept:
+                    states[s] = [(cost, text) for text, cost in kept.items()]
+                    out = m[s][_EDGE] + rest[i + 1][_EDGE]
+                    found.update((start, text) for text, cost in kept.items() if cost + out <= limit)
+            if not states:
+                break
+    return found
+
+
 def _hash(word: str) -> int:
     return xxhash.xxh3_64_intdigest(word.encode()) >> 1
 
@@ -104,12 +166,26 @@ def readings(word: str, model: np.ndarray) -> list[str]:
     if _PLAIN.fullmatch(bare) and not _TRIPLE.search(bare):
         return [bare]
     # signs at an edge may be letters, so they are tried before they are taken for punctuation
-    tries = [w for w in {word.rstrip(".,;:?\"')"), bare} if suspicious(w)]
-    found = [r for w in tries for r in decode(w, model)]
-    if not found:
+    tries = {_REPEATS.sub(r"\1\1\1", w) for w in (word.rstrip(".,;:?\"')"), bare) if suspicious(w)}
+    found = [r for w in tries if len(w) <= LONGEST for r in decode(w, model)]
+    parts = sorted({text for w in tries if len(w) > LONGEST for _, text in segments(w, model)})
+    if not found and not parts:
         return [bare] if bare else []
-    least = min(found)[0]
-    return list(dict.fromkeys([bare, *(text for cost, text in sorted(found) if text and cost <= least + MARGIN)]))
+    least = min(found)[0] if found else 0.0
+    return list(dict.fromkeys([bare, *(text for cost, text in sorted(found) if text and cost <= least + MARGIN), *parts]))
+
+
+def _spaced(run: str, model: np.ndarray) -> list[int]:
+    """Features of a run of single characters: as one word, and as the words of its good segmentations.
+
+    A feature counts once for each place where it begins.
+    """
+    run = _REPEATS.sub(r"\1\1\1", run.lower())
+    found = {(0, h) for h in _features(readings(run, model))} if len(run) <= LONGEST else set()
+    for stretch in _SPELLED.finditer(run):
+        if _LETTERS.search(stretch[0]):
+            found |= {(stretch.start() + at, h) for at, text in segments(stretch[0], model) for h in _features([text])}
+    return [h for _, h in sorted(found)]
 
 
 @dataclass
@@ -144,9 +220,9 @@ def _spelled(words: Words, characters: np.ndarray) -> tuple[np.ndarray, np.ndarr
         for a, b in zip(edge[::2], edge[1::2], strict=True):
             for lo in np.unique(np.searchsorted(words.first, np.arange(a, b), side="right") - 1) if row[a] != row[b - 1] else (row[a],):
                 x, y = max(a, words.first[lo]), min(b, words.first[lo + 1])
-                if 3 <= y - x <= LONGEST:
+                if 3 <= y - x:
                     joined = "".join(text[c] for c in code[x:y])
-                    extra += [(int(lo), h) for h in _features(readings(joined, characters))]
+                    extra += [(int(lo), h) for h in _spaced(joined, characters)]
         if extra:
             rows, found = np.append(rows, [e[0] for e in extra]), np.append(found, [e[1] for e in extra])
     if not len(rows):
