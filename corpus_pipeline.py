@@ -20,10 +20,21 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each group of near duplicates the document with the smallest id; of equal rows with one id, one."""
-    found = jaccard_join.jaccard_classes(docs.select("doc_id", "text"))
-    keep = found.where("doc_id = component_id or doc_id is null").select(F.col("doc_id").alias("__keep")).distinct()
-    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["__keep"]), "left_semi").select(*docs.columns)
+    """Keeps of each group of near duplicates the row with the smallest id; of equal rows with one id, one.
+
+    Rows are compared, not ids: each row gets a key, written beside it so that every later read sees the same one. A
+    null id comes after all others. Texts without words have no near duplicates, only equal rows.
+    """
+    keyed = Scratch(spark, "rows").table(docs.withColumn("__row", F.monotonically_increasing_id()), "keyed")
+    found = jaccard_join.jaccard_classes(keyed.select(F.col("__row").alias("doc_id"), "text")).select(F.col("doc_id").alias("__of"), F.col("component_id").alias("__component"))
+    # what tells rows without words apart; for other rows the component does
+    worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    bare = F.when(~worded, F.struct("doc_id", F.sha2("text", 256).alias("text")))
+    rows = keyed.select("__row", "doc_id", bare.alias("__bare")).join(found, F.col("__row") == F.col("__of"))
+    group = F.when(F.col("__bare").isNull(), F.col("__component"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "__row"))
+    keep = rows.groupBy(group.alias("__group"), "__bare").agg(first.alias("first")).select(F.col("first.__row").alias("__keep"))
+    return keyed.join(keep, F.col("__row") == F.col("__keep"), "left_semi").select(*docs.columns)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -62,3 +62,21 @@ def test_run_is_its_stages(spark, tmp_path):
         docs = spark.read.parquet(f"{tmp_path}/{k}")
     key = lambda r: (r.doc_id, r.start, r.length, r.ids_crc32, r.doc_tokens)
     assert sorted(map(key, P.run(spark, str(tmp_path)).collect())) == sorted(map(key, docs.collect()))
+
+
+def test_near_duplicates_keeps_one_row_of_each_group(spark):
+    one, two, three = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    texts = [
+        (5, one), (5, one), (3, one + " z"), (3, one + " z"), (None, one),  # one group: the row of id 3, once
+        (None, two), (None, two), (None, two + " z"),  # null ids only: one of them
+        (7, three), (7, three + " z"), (7, "other words stand here and link with nothing"),  # unlinked texts of an id both stay
+        (8, ""), (8, ""), (9, ""), (9, None), (9, None), (None, " "), (None, " "),  # without words: equal rows only
+    ]
+    rows = [(i, t, "en", "src0", 0) for i, t in texts]
+    for parts in (1, 4):
+        got = [(r.doc_id, r.text) for r in P.near_duplicates(spark, spark.createDataFrame(rows, SCHEMA).repartition(parts), "").collect()]
+        assert len([1 for _, t in got if t and t.startswith("a0")]) == 1 and (3, one + " z") in got
+        assert [i for i, t in got if t and t.startswith("b0")] == [None]
+        assert [i for i, t in got if t and t.startswith("c0")] == [7]
+        rest = [x for x in got if not (x[1] and x[1][:2] in ("a0", "b0", "c0"))]
+        assert sorted(rest, key=str) == sorted([(7, texts[10][1]), (8, ""), (9, ""), (9, None), (None, " ")], key=str)
