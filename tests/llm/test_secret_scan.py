@@ -57,3 +57,24 @@ def test_masking_and_edges(spark):
     got = {r.doc_id: r.t for r in S.scan(df).select("doc_id", S.masked(F.col("text"), F.col("secret_spans")).alias("t")).collect()}
     assert got == {1: "a " + "*" * 28 + " z", 2: None, 3: "clean"}
     assert S.scan(df.limit(0)).collect() == []
+
+
+def test_battery_tests_every_long_run(spark):
+    rnd = random.Random(6)
+    mixed = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    secret = key(rnd, 40, mixed + "0123456789")
+    odd = {
+        "letters": key(rnd, 32, mixed), "short": key(rnd, 18, mixed + "0123456789"),
+        "path": "/usr/share/documentation/of/the/python/library/and/many/other/folders/with/long/names/" + secret,
+        "after": "x=" + secret, "base": "AKIA" + "B" * 16 + "/" + secret, "slashes": key(rnd, 60, mixed + "0123456789/"),
+    }
+    plain = ["internationalization", "/usr/share/documentation/python3/library", "the-meeting-of-the-committee", "getElementsByTagName", "INTERNATIONALISATION", "-" * 60]
+    texts = [f"see {t} here" for t in odd.values()] + [f"see {key(rnd, 40)} here" for _ in range(30)] + [f"see {rnd.choice(plain)} here" for _ in range(200)]
+    df = spark.createDataFrame([(i, t, None, None, 0) for i, t in enumerate(texts)], SCHEMA)
+    got = {r.doc_id: r for r in S.scan(df).collect()}
+    for i, (name, token) in enumerate(odd.items()):
+        end = len(f"see {token}")
+        spans = [s for s in got[i].secret_spans if s.kind == 3]
+        assert any(s.end == end for s in spans), name
+        assert len(spans) == 1 and not [s for s in got[i].secret_spans if s.kind < 3 and s.end > spans[0].start], name
+    assert not [i for i, r in got.items() if i >= len(odd) + 30 and r.secret_spans]

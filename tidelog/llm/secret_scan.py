@@ -3,7 +3,7 @@
 Only DataFrame functions run here. Positions come from the pieces between matches: a pattern's matches and the text
 split by the same pattern give every start and end in code points.
 
-The battery takes the long runs of key-like characters that no pattern covers, infers each one's encoding (decimal,
+The battery takes the long runs of key-like characters outside the patterns' spans and their parts between slashes, infers each one's encoding (decimal,
 hex, base32, base64) and tests it against ordinary identifiers of that encoding, which are the null hypothesis:
 
 * chi-squared: how far the counts of the alphabet's symbols are from uniform; an ordinary token is far from it;
@@ -30,8 +30,10 @@ ACCESS, HEX = r"AKIA[A-Z0-9]{14,}", r"[0-9a-f]{16,}"
 ASSIGN_LEAST = 12
 KINDS = ("assign", "access", "hex", "random")
 
-#: Runs of key-like characters that the battery tests: 20 or more with a digit among them.
-CANDIDATE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]{0,64}[0-9])[A-Za-z0-9+/_-]{20,}+={0,2}"
+#: Runs of key-like characters that the battery tests, of LEAST_TESTED letters and digits or more, and their parts between
+#: slashes, which are tested beside the whole run: a slash may belong to a key or stand before it in a path.
+CANDIDATE = r"[A-Za-z0-9+/_-]{16,}+={0,2}"
+PART = r"(?<=/)[A-Za-z0-9+_-]{16,}+={0,2}|(?<![A-Za-z0-9+/_-])[A-Za-z0-9+_-]{16,}+(?=/)"
 
 SPAN = "struct<start:int,kind:int,end:int>"
 
@@ -114,6 +116,8 @@ def _battery(x: Column, e: Encoding) -> Column:
     z_chi = (mean - chi) / spread
     # runs of a class: a letter, capital or digit beside another class
     classes = F.translate(x, _UPPER + _LOWER + _DIGIT, "U" * 26 + "L" * 26 + "D" * 10)
+    # a capital that begins a word is of its word's class, as in getElementsByName
+    classes = F.regexp_replace(classes, "U(?=L)", "L")
     stays = F.length(classes) - F.length(F.regexp_replace(classes, r"(.)(?=\1)", ""))
     changes = n - 1 - stays
     z_runs = (changes - (n - 1) * CHANGES) / F.sqrt((n - 1) * (CHANGES * (1 - CHANGES)))
@@ -132,13 +136,21 @@ def _battery(x: Column, e: Encoding) -> Column:
 
 
 def _candidates(text: Column, taken: Column) -> Column:
-    """array<struct<start, kind, end, n, score>> of the runs that overlap no span of ``taken``."""
-    tokens = F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))
-    spans = F.zip_with(_starts(text, CANDIDATE), tokens, lambda s, t: F.struct(_span("random", s["at"], s["n"]).alias("span"), F.rtrim(t, F.lit("=")).alias("token")))
-    free = F.filter(spans, lambda s: ~F.exists(taken, lambda o: (o["start"] < s["span"]["end"]) & (s["span"]["start"] < o["end"])))
-    scored = F.transform(free, lambda s: F.struct(s["span"].alias("span"), F.length(s["token"]).alias("n"), _score(s["token"]).alias("score")))
+    """array<struct<span, n, score>> of the runs, and of their parts between slashes, outside the spans of ``taken``."""
+    # spans' characters become asterisks, which belong to no run, so that what is left of a run is tested
+    free = F.when(F.size(taken) > 0, masked(text, F.array_sort(taken))).otherwise(text)
+    # through an array of one, so that it is made once
+    return F.flatten(F.transform(F.array(free), lambda t: F.concat(_tested(t, CANDIDATE), _tested(t, PART))))
+
+
+def _tested(text: Column, pattern: str) -> Column:
+    """The runs that ``pattern`` finds, with their scores."""
+    tokens = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    spans = F.zip_with(_starts(text, pattern), tokens, lambda s, t: F.struct(_span("random", s["at"], s["n"]).alias("span"), F.rtrim(t, F.lit("=")).alias("token")))
+    long = F.filter(spans, lambda s: F.length(F.translate(s["token"], "-_+/=", "")) >= LEAST_TESTED)
+    scored = F.transform(long, lambda s: F.struct(s["span"].alias("span"), F.length(s["token"]).alias("n"), _score(s["token"]).alias("score")))
     empty = F.array().cast(f"array<struct<span:{SPAN},n:int,score:double>>")
-    return F.when(text.rlike(CANDIDATE), scored).otherwise(empty)
+    return F.when(text.rlike(pattern), scored).otherwise(empty)
 
 
 def _cut(docs: DataFrame, rate: float) -> tuple[float, float] | None:
@@ -178,7 +190,11 @@ def scan(docs: DataFrame, rate: float = RATE) -> DataFrame:
         # binned as in the histogram, so that a token's level is the same in both passes
         level = lambda c: F.floor((F.least(F.floor(c["score"] / BIN), F.lit(BINS)) * BIN + F.log10(F.least(c["n"], F.lit(4096)) / F.lit(mean))) / BIN) * BIN
         added = F.transform(F.filter(_candidates(text, F.col("secret_spans")), lambda c: level(c) >= least), lambda c: c["span"])
-        out = out.withColumn("secret_spans", F.concat("secret_spans", added))
+        out = out.withColumn("__added", added)
+        # a part of a run that is a discovery as a whole adds nothing
+        inside = lambda s, o: (o["start"] <= s["start"]) & (s["end"] <= o["end"]) & (o != s)
+        whole = F.filter("__added", lambda s: ~F.exists("__added", lambda o: inside(s, o)))
+        out = out.withColumn("secret_spans", F.concat("secret_spans", whole)).drop("__added")
     return out.withColumn("secret_spans", F.array_sort("secret_spans"))
 
 
