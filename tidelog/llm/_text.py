@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 #: Bytes of text that are worked on at once, whatever size the batches have.
 CHUNK_BYTES = 3 << 20
@@ -55,36 +56,64 @@ def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[at[0] : at[-1]], at - at[0]
 
 
+#: Lower case for A to Z.
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+
+
+def spans(data: np.ndarray, at: np.ndarray, blanks: bytes | np.ndarray = BLANKS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Where words stand: which bytes are inside one, starts, lengths, and the first word of each row (and the end)."""
+    if isinstance(blanks, bytes):
+        blank = np.zeros(256, bool)
+        blank[list(blanks)] = True
+    else:
+        blank = blanks
+    inside = ~blank[data]
+    start, end = inside.copy(), inside.copy()
+    start[1:] &= ~inside[:-1]
+    end[:-1] &= ~inside[1:]
+    cut = at[:-1][at[:-1] < len(data)]
+    start[cut] = inside[cut]
+    cut = cut[cut > 0] - 1
+    end[cut] = inside[cut]
+    starts = np.flatnonzero(start)
+    return inside, starts, np.flatnonzero(end) + 1 - starts, np.searchsorted(starts, at)
+
+
+def hashes(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each word: its bytes, eight at a time; words over 64 bytes through xxHash."""
+    out = mix(lengths.astype(U64) + U64(0x9E3779B97F4A7C15))
+    if not len(starts):
+        return out
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(data) + 1,), U64, padded, strides=(1,))
+    for k in range(8):
+        todo = slice(None) if k == 0 else np.flatnonzero((lengths > 8 * k) & (lengths <= 64))
+        left = np.minimum(lengths[todo] - 8 * k, 8)
+        if not len(left):
+            break
+        keep = U64(0xFFFFFFFFFFFFFFFF) >> ((8 - left).astype(U64) << U64(3))
+        out[todo] = mix(out[todo] * U64(0x9E3779B97F4A7C15) ^ (eight.take(starts[todo] + 8 * k) & keep))
+    for i in np.flatnonzero(lengths > 64).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(data[starts[i] : starts[i] + lengths[i]].tobytes())
+    return out
+
+
 class Words:
     """The words of each row: ``codes`` into ``dictionary`` (bytes), ``n`` words a row, ``first`` the first of each row."""
 
     def __init__(self, column: pa.Array, lower: bool = False, blanks: bytes | np.ndarray = BLANKS):
         data, at = raw(column)
         if lower:
-            table = np.arange(256, dtype=np.uint8)
-            table[65:91] += 32
-            data = table[data]
+            data = LOWER[data]
         self.data, self.at = data, at
-        if isinstance(blanks, bytes):
-            blank = np.zeros(256, bool)
-            blank[list(blanks)] = True
-        else:
-            blank = blanks
-        inside = ~blank[data]
-        start = inside.copy()
-        start[1:] &= ~inside[:-1]
-        cut = at[:-1][at[:-1] < len(data)]
-        start[cut] = inside[cut]
-        starts = np.flatnonzero(start)
-        kept = np.cumsum(inside, dtype=np.int64)
-        letters = data[inside]
-        ends = np.append(kept[starts] - 1, len(letters)) if len(starts) else np.zeros(1, np.int64)
-        array = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(letters)])
+        self.inside, self.starts, lengths, self.first = spans(data, at, blanks)
+        letters = data[self.inside]
+        ends = np.concatenate((np.zeros(1, np.int64), np.cumsum(lengths)))
+        array = pa.Array.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(ends), pa.py_buffer(letters)])
         coded = array.dictionary_encode()
-        self.inside, self.starts = inside, starts
         self.codes = coded.indices.to_numpy(zero_copy_only=False)
-        self.dictionary: list[bytes] = coded.dictionary.to_pylist()
-        self.first = np.searchsorted(starts, at)
+        self.dictionary: list[bytes] = pieces(coded.dictionary)
         self.n = np.diff(self.first)
 
     def rows(self) -> np.ndarray:
@@ -92,6 +121,13 @@ class Words:
         return np.repeat(np.arange(len(self.n)), self.n)
 
 
+def pieces(column: pa.Array) -> list[bytes]:
+    """The values of a binary column without nulls; faster than its own conversion."""
+    data, at = raw(column)
+    whole, ends = data.tobytes(), at.tolist()
+    return [whole[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: a bijection that spreads every bit."""
     x = x.astype(U64, copy=True)
