@@ -14,10 +14,17 @@ from pyspark.sql import functions as F
 #: Rows up to which a lookup table is broadcast; beyond it the large side is salted and both are shuffled.
 BROADCAST_ROWS = 200_000
 SALTS = 64
+#: Bytes of an Arrow batch, where the session has Spark's own bound.
+BATCH_BYTES, _BATCH_BYTES, _UNSET = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 
 
 def ship(spark: SparkSession) -> None:
-    """Gives the Python workers this package, once per Spark context, through Spark's own distribution of files."""
+    """Gives the Python workers this package, once per Spark context, through Spark's own distribution of files.
+
+    Arrow batches are bounded by bytes from then on, so that rows of long texts don't fill a worker.
+    """
+    if spark.conf.get(_BATCH_BYTES) == _UNSET:
+        spark.conf.set(_BATCH_BYTES, str(BATCH_BYTES))
     context = spark.sparkContext
     if getattr(context, "_tidelog_shipped", False):
         return

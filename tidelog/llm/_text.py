@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +12,7 @@ import pyarrow.compute as pc
 import xxhash
 
 #: Bytes of text that are worked on at once, whatever size the batches have.
-CHUNK_BYTES = 3 << 20
+CHUNK_BYTES = 2 << 20
 #: The separators of ``[^\x20\x09-\x0D]+``.
 BLANKS = bytes([0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D])
 U64 = np.uint64
@@ -113,17 +114,20 @@ class Words:
         array = pa.Array.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(ends), pa.py_buffer(letters)])
         coded = array.dictionary_encode()
         self.codes = coded.indices.to_numpy(zero_copy_only=False)
-        self.dictionary: list[bytes] = pieces(coded.dictionary)
+        self.letters = raw(coded.dictionary)
         self.n = np.diff(self.first)
 
+    @cached_property
+    def dictionary(self) -> list[bytes]:
+        return pieces(*self.letters)
+
     def rows(self) -> np.ndarray:
         """The row of each word."""
         return np.repeat(np.arange(len(self.n)), self.n)
 
 
-def pieces(column: pa.Array) -> list[bytes]:
-    """The values of a binary column without nulls; faster than its own conversion."""
-    data, at = raw(column)
+def pieces(data: np.ndarray, at: np.ndarray) -> list[bytes]:
+    """The values of a binary column; faster than its own conversion."""
     whole, ends = data.tobytes(), at.tolist()
     return [whole[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
 

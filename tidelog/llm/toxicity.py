@@ -18,12 +18,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.llm._common import ship
-from tidelog.llm._text import Words, chunks, spread
+from tidelog.llm._text import LOWER, U64, Words, chunks, hashes, mix, spread, sums
 
 #: Labelled rows that the classifier is fitted on at most.
 TRAIN_ROWS = 8000
@@ -51,6 +50,15 @@ _REPEATS = re.compile(r"(.)\1{3,}", re.DOTALL)
 _SPELLED = re.compile(f"[{ALPHABET}{re.escape(''.join(READINGS) + SEPARATORS)}]+")
 _INDEX = {c: i for i, c in enumerate(ALPHABET)}
 _EDGE = len(ALPHABET)
+#: Outer punctuation, letters and their places by byte; letters beyond ASCII are two bytes, of which the first is _TWO.
+_TWO = 0xC3
+_LEADING, _TRAILING, _ASCII, _SECOND = (np.isin(np.arange(256), list(x)) for x in (b"\"'([{<.,;:?*#%&|~`-", b"\"')]}>.,;:?!*#%&|~`-", bytes(range(97, 123)), bytes(c.encode()[1] for c in ALPHABET[26:])))
+_PLACE, _PLACE_TWO = np.zeros(256, np.int64), np.zeros(256, np.int64)
+for _c, _i in _INDEX.items():
+    if _c.isascii():
+        _PLACE[ord(_c)] = _i
+    else:
+        _PLACE_TWO[_c.encode()[1]] = _i
 
 
 def suspicious(word: str) -> bool:
@@ -150,13 +158,54 @@ def segments(run: str, model: np.ndarray) -> set[tuple[int, str]]:
     return found
 
 
-def _hash(word: str) -> int:
-    return xxhash.xxh3_64_intdigest(word.encode()) >> 1
-
-
-def _features(found: list[str]) -> list[int]:
-    """Hashes of readings and of the stems they begin with, which tell inflected and compound words."""
-    return [_hash(x) for w in found for x in (w, *("^" + w[:n] for n in STEMS if len(w) >= n))]
+def _hashed(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(word, hash) of words given by their bytes: of each one, and of the stems of STEMS characters it begins with."""
+    of, out = [np.arange(len(starts))], [hashes(data, starts, lengths)]
+    first = np.flatnonzero((data & 0xC0) != 0x80)  # where characters begin
+    begin, end = np.searchsorted(first, starts), np.searchsorted(first, starts + lengths)
+    for n in STEMS:
+        long = np.flatnonzero(end - begin >= n)
+        to = np.append(first, len(data))[begin[long] + n]
+        of.append(long)
+        out.append(mix(hashes(data, starts[long], to - starts[long]) ^ U64(n)))
+    return np.concatenate(of), (np.concatenate(out) >> U64(1)).astype(np.int64)
+
+
+def _features(found: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(place, hash) of readings and of the stems they begin with, which tell inflected and compound words."""
+    texts = [w.encode() for w in found]
+    ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
+    lengths = np.diff(np.concatenate((np.zeros(1, np.int64), ends)))
+    return _hashed(np.frombuffer(b"".join(texts), np.uint8), ends - lengths, lengths)
+
+
+def _plain(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of lower-case words by their bytes: which are letters of ALPHABET, none three times in a row, but for outer
+    punctuation; and where each one's letters start and end. What ``readings`` returns for these is the letters."""
+    start, end, n = at[:-1].copy(), at[1:].copy(), len(data)
+    if not n:
+        return np.zeros(len(start), bool), start, end
+    for edge, table, step in ((start, _LEADING, 1), (end, _TRAILING, -1)):
+        todo = np.flatnonzero(end > start)
+        while len(todo):
+            todo = todo[table[data[edge[todo] - (step < 0)]]]
+            edge[todo] += step
+            todo = todo[end[todo] > start[todo]]
+    second = np.zeros(n, bool)
+    second[1:] = (data[:-1] == _TWO) & _SECOND[data[1:]]
+    good = _ASCII[data] | second
+    good[:-1] |= second[1:]
+    thrice = np.zeros(n + 1, np.int64)
+    same = (data[2:] == data[1:-1]) & (data[1:-1] == data[:-2])
+    thrice[1 : len(same) + 1] = same
+    twice = np.zeros(n + 1, np.int64)
+    if n >= 6:
+        pair = (data[2:] == data[:-2])
+        whole = (data[:-5] == _TWO) & pair[:-3] & pair[1:-2] & pair[2:-1] & pair[3:]
+        twice[1 : len(whole) + 1] = whole
+    bad, thrice, twice = (np.concatenate((np.zeros(1, np.int64), np.cumsum(~good)))), np.cumsum(thrice), np.cumsum(twice)
+    within = lambda upto, less: upto[np.maximum(end - less, start)] - upto[start]
+    return (end > start) & (within(bad, 0) == 0) & (within(thrice, 2) == 0) & (within(twice, 5) == 0), start, end
 
 
 def readings(word: str, model: np.ndarray) -> list[str]:
@@ -175,17 +224,19 @@ def readings(word: str, model: np.ndarray) -> list[str]:
     return list(dict.fromkeys([bare, *(text for cost, text in sorted(found) if text and cost <= least + MARGIN), *parts]))
 
 
-def _spaced(run: str, model: np.ndarray) -> list[int]:
+def _spaced(run: str, model: np.ndarray) -> np.ndarray:
     """Features of a run of single characters: as one word, and as the words of its good segmentations.
 
     A feature counts once for each place where it begins.
     """
     run = _REPEATS.sub(r"\1\1\1", run.lower())
-    found = {(0, h) for h in _features(readings(run, model))} if len(run) <= LONGEST else set()
+    found = {(0, text) for text in readings(run, model)} if len(run) <= LONGEST else set()
     for stretch in _SPELLED.finditer(run):
         if _LETTERS.search(stretch[0]):
-            found |= {(stretch.start() + at, h) for at, text in segments(stretch[0], model) for h in _features([text])}
-    return [h for _, h in sorted(found)]
+            found |= {(stretch.start() + at, text) for at, text in segments(stretch[0], model)}
+    at = np.array([a for a, _ in sorted(found)], np.int64)
+    of, feature = _features([text for _, text in sorted(found)])
+    return np.unique(np.stack([at[of], feature], axis=1), axis=0)[:, 1] if len(of) else feature
 
 
 @dataclass
@@ -201,17 +252,24 @@ class Model:
 
 def _spelled(words: Words, characters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(row, hash) of the features of each row's words and of its runs of single letters, in order of rows."""
-    per, flat = np.zeros(len(words.dictionary), np.int64), []
-    single = np.zeros(len(words.dictionary), bool)
-    text = [w.decode() for w in words.dictionary]
-    for i, w in enumerate(text):
-        own = _features(readings(w, characters))
-        per[i] = len(own)
-        flat += own
-        single[i] = len(w) == 1
-    hashes, begin = np.array(flat, np.int64), np.cumsum(per) - per
+    data, at = words.letters
+    data = LOWER[data]
+    plain, start, end = _plain(data, at)
+    easy, hard = np.flatnonzero(plain), np.flatnonzero(~plain)
+    of, hashed = _hashed(data, start[easy], (end - start)[easy])
+    own, found = [], []
+    for i in hard.tolist():
+        said = readings(words.dictionary[i].decode(), characters)
+        own += [i] * len(said)
+        found += said
+    of_hard, hashed_hard = _features(found)
+    of, hashed = np.concatenate([easy[of], np.array(own, np.int64)[of_hard]]), np.concatenate([hashed, hashed_hard])
+    order = np.argsort(of, kind="stable")
+    per = np.bincount(of, minlength=len(at) - 1)
+    single = sums((data & 0xC0) != 0x80, at) == 1
+    hashed_by_word, begin = hashed[order], np.cumsum(per) - per
     row, code = words.rows(), words.codes
-    rows, found = np.repeat(row, per[code]), hashes[spread(begin[code], per[code])]
+    rows, found = np.repeat(row, per[code]), hashed_by_word[spread(begin[code], per[code])]
     # letters set apart by blanks: runs of three one-character words or more within a row
     alone = single[code]
     if alone.any():
@@ -221,8 +279,8 @@ def _spelled(words: Words, characters: np.ndarray) -> tuple[np.ndarray, np.ndarr
             for lo in np.unique(np.searchsorted(words.first, np.arange(a, b), side="right") - 1) if row[a] != row[b - 1] else (row[a],):
                 x, y = max(a, words.first[lo]), min(b, words.first[lo + 1])
                 if 3 <= y - x:
-                    joined = "".join(text[c] for c in code[x:y])
-                    extra += [(int(lo), h) for h in _spaced(joined, characters)]
+                    joined = "".join(words.dictionary[c].decode() for c in code[x:y])
+                    extra += [(int(lo), h) for h in _spaced(joined, characters).tolist()]
         if extra:
             rows, found = np.append(rows, [e[0] for e in extra]), np.append(found, [e[1] for e in extra])
     if not len(rows):
@@ -245,13 +303,23 @@ def character_model(docs: DataFrame) -> np.ndarray:
         total = np.zeros((_EDGE + 1) ** 2, np.int64)
         for part in chunks(batches, 0):
             words = Words(part.column(0), lower=True)
-            often = np.bincount(words.codes, minlength=len(words.dictionary))
-            for w, n in zip(words.dictionary, often.tolist(), strict=True):
-                bare = _OUTER.sub("", w.decode().lower())
-                if 2 <= len(bare) <= LONGEST and _PLAIN.fullmatch(bare):
-                    at = [_EDGE, *(_INDEX[c] for c in bare), _EDGE]
-                    for a, b in zip(at, at[1:]):
-                        total[a * (_EDGE + 1) + b] += n
+            often = np.bincount(words.codes, minlength=len(words.letters[1]) - 1)
+            data, at = words.letters
+            plain, start, end = _plain(data, at)
+            begins = np.flatnonzero((data & 0xC0) != 0x80)
+            n = np.searchsorted(begins, end) - np.searchsorted(begins, start)
+            used = np.flatnonzero(plain & (n >= 2) & (n <= LONGEST))
+            place = _PLACE[data[begins]]
+            two = np.flatnonzero(data[begins] == _TWO)
+            place[two] = _PLACE_TWO[data[begins[two] + 1]]
+            first = np.searchsorted(begins, start[used])
+            here = place[spread(first, n[used])]
+            # an edge before each word's characters and behind them
+            ends = np.cumsum(n[used])
+            after = np.append(here, _EDGE)[1 : len(here) + 1]
+            after[ends - 1] = _EDGE
+            pair = np.concatenate([here * (_EDGE + 1) + after, _EDGE * (_EDGE + 1) + here[ends - n[used]]])
+            total += np.bincount(pair, np.concatenate([np.repeat(often[used], n[used]), often[used]]), len(total)).astype(np.int64)
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], ["pair", "n"])
 
