@@ -13,7 +13,6 @@ ODD = ["a  b", " lead", "trail ", "x \n y", "\n\n", "don't we'll\tgo\r\nnow", "
 
 def ids_of(text):
     t = ids_of.t = getattr(ids_of, "t", None) or Tokenizer.from_file(P.vocabulary())
-    t.encode_special_tokens = True
     return t.encode(text or "", add_special_tokens=False).ids
 
 
@@ -61,6 +60,31 @@ def test_pieces_and_limits(spark, limits, most, monkeypatch):
     assert check(P.pack(df, limits, with_ids=True).collect(), texts, limits) <= most
 
 
+def test_every_limit_of_the_query_binds():
+    """Long and short examples under the query's limits, and under the limit on tokens alone."""
+    rnd = np.random.default_rng(3)
+    sizes = [int(x) for x in np.concatenate([rnd.integers(2000, 6000, 30), rnd.integers(20, 90, 3000)])]
+    for limits, pairs in ((P.Limits(), 3), (P.Limits(segments=1 << 30, loss=1 << 30), 1)):
+        rows = []
+        packer = P.Packer(limits, lambda key, start, ids, sequence, offset, segment, loss: rows.append((sequence, len(ids), loss)))  # noqa: B023
+        for size in sizes:
+            packer.add((0, size), np.zeros(size, np.int32), min(64, size // 8))
+        packer.flush()
+        sequence, n, loss = map(np.array, zip(*rows, strict=True))
+        tokens, losses, pieces = np.bincount(sequence, n), np.bincount(sequence, loss), np.bincount(sequence)
+        assert tokens.sum() == sum(sizes) and tokens.max() == 1024
+        bound = sum(map(bool, ((losses == limits.loss).any(), (pieces == limits.segments).any(), (tokens == limits.tokens).any())))
+        assert bound == pairs
+        assert losses.max() <= limits.loss and pieces.max() <= limits.segments
+
+
+def test_special_tokens_and_long_parts():
+    texts = ["<|endoftext|>", "a <|endoftext|> b<|endoftext|>\nc", "x" * 3000 + " " + "é" * 700 + " y", " <|endoftext|>", "a<|endoftext|> <|endoftext|>"]
+    flat, n = P.encode(pa.array(texts), P.vocabulary())
+    assert [flat[b - k : b].tolist() for b, k in zip(np.cumsum(n), n, strict=True)] == [ids_of(t) for t in texts]
+    assert (flat == 50256).sum() == 6
+
+
 def test_edges(spark):
     df = spark.createDataFrame([(None, None), (1, ""), (1, "")], "doc_id long, text string").selectExpr("*", "1 as ids", "2 as start").coalesce(1)
     got = P.pack(df).collect()

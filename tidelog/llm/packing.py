@@ -12,6 +12,7 @@ is shuffled. The same input partition always gives the same sequences, so a reco
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from dataclasses import dataclass
@@ -28,18 +29,25 @@ from tidelog.llm._text import chunks, raw, spread, sums
 VOCABULARY = "byte_bpe_50k.json"
 #: Pieces that wait before they are packed.
 POOL = 4096
-#: Parts of text whose ids a worker remembers at most, about 40 MB; bytes of text that are encoded at once.
-REMEMBERED, ENCODED_BYTES = 150_000, 6 << 20
+#: Bytes of text that are encoded at once; bytes of a part above which it goes through the tokenizer itself.
+ENCODED_BYTES, LONG_PART = 2 << 20, 512
 #: The shortest piece that a cut leaves in a sequence, and padding that is not worth a cut.
 LEAST_CUT, PADDING = 16, 24
+#: White space of ASCII, and lead bytes of white space beyond it (and of much else).
+_BLANK, _LEAD2, _LEAD3 = np.zeros(256, bool), np.zeros(256, bool), np.zeros(256, bool)
+_BLANK[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]], _LEAD2[0xC2], _LEAD3[[0xE1, 0xE2, 0xE3]] = True, True, True
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, segment int, loss_tokens long"
 
 
 @dataclass(frozen=True)
 class Limits:
+    """Most tokens, pieces and loss-bearing tokens of a sequence. The limit on loss is a
+    thirty-second below the one on tokens, so no sequence is cut from the inside of one long document alone; prompts
+    are a tenth of typical tokens, so sequences can still be filled."""
+
     tokens: int = 1024
-    segments: int = 64
-    loss: int = 1024
+    segments: int = 16
+    loss: int = 992
 
     def __post_init__(self):
         if min(self.tokens, self.segments, self.loss) < 1:
@@ -52,56 +60,109 @@ def vocabulary(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+#: How the vocabulary's byte-level pre-tokeniser cuts a text, in the words of the second encoder.
+PIECES = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
 _LOADED: dict = {}
-_KNOWN: dict[str, dict[str, list[int]]] = {}
 
 
-def _tokenizer(path: str):
+@dataclass(frozen=True)
+class Encoder:
+    """A vocabulary's tokenizer, and for ordinary parts of text a faster encoder with the same ids, if there is one."""
+
+    tokenizer: object
+    fast: object | None
+    size: np.ndarray  # bytes of each id
+    special: tuple[bytes, ...]
+
+
+def encoder(path: str) -> Encoder:
     if path not in _LOADED:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        _LOADED[path] = Tokenizer.from_file(path)
-        _LOADED[path].encode_special_tokens = True  # their strings in a text are ordinary text
+        tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        _LOADED[path] = Encoder(tokenizer, *_fast(spec), tuple(x["content"].encode() for x in spec.get("added_tokens", [])))
     return _LOADED[path]
 
 
-def _encoded(parts: list[str], often: np.ndarray, path: str) -> list[list[int]]:
-    """The ids of each part of text; those that are seen often are remembered for the worker's next batches."""
-    known = _KNOWN.setdefault(path, {})
-    if len(known) > REMEMBERED:
-        known.clear()
-    ids = [known.get(p) for p in parts]
-    new = [i for i, x in enumerate(ids) if x is None]
-    tokenizer = _tokenizer(path)
-    for at in range(0, len(new), 20_000):
-        block = new[at : at + 20_000]
-        for i, x in zip(block, tokenizer.encode_batch_fast([parts[i] for i in block], add_special_tokens=False), strict=True):
-            ids[i] = x.ids
-            if often[i]:
-                known[parts[i]] = ids[i]
-    return ids
+def _fast(spec: dict) -> tuple[object | None, np.ndarray]:
+    """The second encoder for a byte-level BPE whose merges are in the order of their ids; else None."""
+    model, cut = spec["model"], spec.get("pre_tokenizer") or {}
+    merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model.get("merges", [])]
+    order = [model["vocab"].get(a + b, -1) for a, b in merges]
+    plain = model.get("type") == "BPE" and cut.get("type") == "ByteLevel" and not cut.get("add_prefix_space") and cut.get("use_regex", True) and not spec.get("normalizer")
+    if not plain or not order or order[0] < 256 or any(x >= y for x, y in zip(order, order[1:])):
+        return None, np.zeros(0, np.int64)
+    import tiktoken
+
+    # the printable bytes stand for themselves, the others for the characters from 256 on
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    byte = {chr(c): c for c in shown} | {chr(256 + i): c for i, c in enumerate(c for c in range(256) if c not in shown)}
+    added = {x["content"] for x in spec.get("added_tokens", [])}
+    ranks = {bytes(byte[c] for c in w): i for w, i in model["vocab"].items() if w not in added}
+    size = np.zeros(max(model["vocab"].values()) + 1, np.int64)
+    size[list(ranks.values())] = [len(w) for w in ranks]
+    return tiktoken.Encoding("parts", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={}), size
+
+
+def _one_by_one(tokenizer, parts: list[bytes]) -> list[list[int]]:
+    out: list[list[int]] = []
+    for at in range(0, len(parts), 20_000):
+        out += [x.ids for x in tokenizer.encode_batch_fast([p.decode() for p in parts[at : at + 20_000]], add_special_tokens=False)]
+    return out
+
+
+def _encoded(data: np.ndarray, at: np.ndarray, path: str) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of distinct parts (their bytes and where each starts) one after another, and how many each has."""
+    own, n = encoder(path), len(at) - 1
+    length = np.diff(at)
+    ordinary = np.zeros(n, bool)
+    if own.fast is not None and len(data):
+        # led by one blank and ended by another sign, so that parts side by side are cut where they meet
+        first, second, last = data[at[:-1]], data[np.minimum(at[:-1] + 1, len(data) - 1)], data[at[1:] - 1]
+        ordinary = (length >= 2) & (length <= LONG_PART) & ((first == 32) | (first == 10)) & ~(_BLANK | _LEAD2 | _LEAD3)[second] & ~_BLANK[last]
+        ordinary &= ~(_LEAD2[data[at[1:] - 2]] | ((length >= 3) & _LEAD3[data[np.maximum(at[1:] - 3, 0)]]))
+        whole = data.tobytes()
+        for mark in own.special:
+            k = whole.find(mark)
+            while k >= 0:
+                ordinary[np.searchsorted(at, k, side="right") - 1] = False
+                k = whole.find(mark, k + 1)
+    others = np.flatnonzero(~ordinary)
+    raw_parts = [data[a:b].tobytes() for a, b in zip(at[others].tolist(), at[others + 1].tolist(), strict=True)]
+    found = _one_by_one(own.tokenizer, raw_parts)
+    per = np.zeros(n, np.int64)
+    per[others] = [len(x) for x in found]
+    if ordinary.any():
+        text = data[np.repeat(ordinary, length)].tobytes().decode()
+        ids = np.asarray(own.fast.encode_to_numpy(text, disallowed_special=())).astype(np.int32)
+        ends = np.cumsum(own.size[ids])
+        upto = np.searchsorted(ends, np.cumsum(length[ordinary])) + 1
+        per[ordinary] = np.diff(np.concatenate((np.zeros(1, np.int64), upto)))
+    flat, begin = np.empty(int(per.sum()), np.int32), np.cumsum(per) - per
+    if ordinary.any():
+        flat[spread(begin[ordinary], per[ordinary])] = ids
+    for i, x in zip(others.tolist(), found, strict=True):
+        flat[begin[i] : begin[i] + len(x)] = x
+    return flat, per
 
 
 def encode(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     """The ids of all texts (null: empty) one after another, and how many each has, without an end id.
 
     The vocabulary's pre-tokeniser never joins a blank with what precedes it, so a text can be cut before any single
-    space or line break that stands between other characters. Each distinct piece of a batch is encoded once.
+    space or line break that stands between other characters. Each distinct part of a batch is encoded once.
     """
     data, at = raw(texts)
     n = len(data)
-    blank = np.zeros(256, bool)
-    blank[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
-    lead3, lead2 = np.zeros(256, bool), np.zeros(256, bool)
-    lead3[[0xE1, 0xE2, 0xE3]] = True  # of white space beyond ASCII, and much else
-    lead2[0xC2] = True
     cut = (data == 32) | (data == 10)
-    odd = blank[data]
+    odd = _BLANK[data]
     cut[1:] &= ~odd[:-1]
-    cut[:-1] &= ~(odd | lead3[data] | lead2[data])[1:]
-    cut[2:] &= ~lead2[data[:-2]]
-    cut[3:] &= ~lead3[data[:-3]]
+    cut[:-1] &= ~(odd | _LEAD3[data] | _LEAD2[data])[1:]
+    cut[2:] &= ~_LEAD2[data[:-2]]
+    cut[3:] &= ~_LEAD3[data[:-3]]
     if n:
         cut[-1] = False
     filled = at[:-1][np.diff(at) > 0]
@@ -111,10 +172,8 @@ def encode(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     starts = np.flatnonzero(cut)
     units = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(np.append(starts, n).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
     coded = units.dictionary_encode()
-    codes, distinct = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.cast(pa.large_string()).to_pylist()
-    ids = _encoded(distinct, np.bincount(codes, minlength=len(distinct)) > 1, path)
-    per = np.fromiter(map(len, ids), np.int64, len(ids))
-    flat = np.fromiter((x for y in ids for x in y), np.int32, int(per.sum()))
+    codes = coded.indices.to_numpy(zero_copy_only=False)
+    flat, per = _encoded(*raw(coded.dictionary), path)
     begin = np.cumsum(per) - per
     return flat[spread(begin[codes], per[codes])], sums(per[codes], np.searchsorted(starts, at))
 
@@ -196,10 +255,11 @@ class Packer:
                     piece = groups[kinds[best]].pop()
                     left[best] -= 1
                 elif r_t > PADDING and left.any():
-                    long = int(np.where(left > 0, tokens, -1).argmax())
-                    piece = groups[kinds[long]][-1]
-                    n = self._most(piece, r_t, r_l)
-                    if n < LEAST_CUT:
+                    # the kind of which most fits: a prompt bears no loss
+                    able = np.where(left > 0, np.minimum(np.minimum(tokens, r_t), tokens - loss + r_l), -1)
+                    long = int(able.argmax())
+                    piece, n = groups[kinds[long]][-1], int(able[long])
+                    if n < LEAST_CUT or n >= tokens[long]:
                         break
                     groups[kinds[long]].pop()
                     left[long] -= 1
