@@ -80,3 +80,20 @@ def test_near_duplicates_keeps_one_row_of_each_group(spark):
         assert [i for i, t in got if t and t.startswith("c0")] == [7]
         rest = [x for x in got if not (x[1] and x[1][:2] in ("a0", "b0", "c0"))]
         assert sorted(rest, key=str) == sorted([(7, texts[10][1]), (8, ""), (9, ""), (9, None), (None, " ")], key=str)
+
+
+def test_stages_with_nulls_clashing_names_and_empty_tables(spark, monkeypatch):
+    monkeypatch.setattr(fertility, "BANDS", {k: fertility.Band((0.1, 99.0), 1.0, 0.0) for k in fertility.BANDS})
+    words = " ".join(f"word{i}" for i in range(60))
+    rows = [(None, words, None, None, 1), (1, None, "en", "src0", 2), (2, words + " more", "en", "src1", 3), (2, words + " more", "en", "src1", 4), (3, "", "de", None, 5)]
+    odd = ["kept", "secret_spans", "mix_tokens", "component_id", "__row", "c0", "n_words"]
+    docs = spark.createDataFrame([(*r, *[f"{c}-{r[4]}" for c in odd]) for r in rows], SCHEMA + "".join(f", {c} string" for c in odd))
+    for name, stage in P.STAGES[:-1]:
+        got = stage(spark, docs, "")
+        assert got.columns == docs.columns, name
+        got = [tuple(r) for r in got.collect()]
+        want = {tuple(r) for r in docs.collect()}
+        assert got and set(got) <= want, name
+        assert stage(spark, docs.limit(0), "").collect() == [], name
+    assert len(P.packed(spark, docs, "").collect()) >= len(rows)
+    assert P.packed(spark, docs.limit(0), "").collect() == []

@@ -53,6 +53,7 @@ BANDS = {
 }
 
 SCHEMA = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_tokens long, chars_per_token double, byte_share double, token_entropy double, base_failed boolean, band string, kept boolean"
+MEASURES = [x.split()[0] for x in SCHEMA.split(", ")]
 
 
 def vocabulary(name: str = VOCABULARY) -> str:
@@ -151,19 +152,38 @@ def fertility(docs: DataFrame, vocabulary_path: str | None = None, bands: dict[s
     """``carry`` columns (doc_id by default) and the measures of SCHEMA for each row of ``docs`` (text, lang, ...).
 
     Null, empty and wordless texts have no words and fail the base rule. A null or unknown lang takes the band of
-    the text's script. Repeated rows each return a row; an empty table returns none; a column of ``docs`` that has
-    the name of a measure must not be in ``carry``. Nothing is shuffled.
+    the text's script. Repeated rows each return a row; an empty table returns none. A measure replaces a column in
+    ``carry`` that has its name. Very long texts are measured whole, one at a time. Nothing is shuffled.
     """
+    carry = [c for c in (carry or ["doc_id"]) if c not in MEASURES]
+    out, named = _measured(docs, carry, vocabulary_path, bands, False)
+    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(carry)], *MEASURES) if named else out
+
+
+def kept(docs: DataFrame, vocabulary_path: str | None = None, bands: dict[str, Band] | None = None) -> DataFrame:
+    """The rows of ``docs`` that the rules keep, with all of their columns, whatever these are named."""
+    out, _ = _measured(docs, docs.columns, vocabulary_path, bands, True)
+    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
+
+
+def _measured(docs: DataFrame, carry: list[str], vocabulary_path: str | None, bands: dict[str, Band] | None, only_kept: bool) -> tuple[DataFrame, bool]:
+    """The ``carry`` columns as c0, c1, ... of rows that are kept, or of all rows with MEASURES."""
     ship(docs.sparkSession)
-    path, bands, carry = vocabulary_path or vocabulary(), bands or BANDS, carry or ["doc_id"]
-    named = [F.col(c).alias(f"c{i}") for i, c in enumerate(carry)]
-    rows = docs.select(F.col("text").alias("t"), F.col("lang").cast("string").alias("l"), *named)
+    path, bands = vocabulary_path or vocabulary(), bands or BANDS
+    named = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carry)]
+    # with all columns carried, text and lang are among them and aren't sent twice
+    text, lang = (carry.index(c) if only_kept else len(carry) + k for k, c in enumerate(("text", "lang")))
+    rows = docs.select(*named, *([] if only_kept else [F.col("text").alias("t"), F.col("lang").cast("string").alias("l")]))
+    names = [f"c{i}" for i in range(len(carry))]
 
     def run(batches):
-        for part in chunks(batches, 0):
-            measures = measure(part.column(0), part.column(1).to_pylist(), path, bands)
-            yield pa.RecordBatch.from_arrays([*part.columns[2:], *map(pa.array, measures)], names=[f"c{i}" for i in range(len(carry))] + [x.split()[0] for x in SCHEMA.split(", ")])
+        for part in chunks(batches, text):
+            langs = part.column(lang)
+            measures = measure(part.column(text), langs.to_pylist(), path, bands)
+            if only_kept:
+                yield pa.RecordBatch.from_arrays(part.columns, names).filter(pa.array(measures[-1]))
+            else:
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(carry)], *map(pa.array, measures)], [*names, *MEASURES])
 
     fields = ", ".join(f"c{i} {rows.schema[f'c{i}'].dataType.simpleString()}" for i in range(len(carry)))
-    out = rows.mapInArrow(run, f"{fields}, {SCHEMA}")
-    return out.withColumnsRenamed({f"c{i}": c for i, c in enumerate(carry)})
+    return rows.mapInArrow(run, fields if only_kept else ", ".join(x for x in (fields, SCHEMA) if x)), not only_kept

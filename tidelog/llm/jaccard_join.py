@@ -342,17 +342,28 @@ def _verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int, scratch:
     return out
 
 
-def _needed(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is in ``ids`` (id), and a few more, without a shuffle of ``docs``.
+def _flagged(rows: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """``rows`` with ``__in``: whether ``key`` is in ``ids`` (id), true for a few others as well; ``rows`` aren't shuffled.
 
     Each id sets one bit of a table of 2 ** bits; the table goes to the tasks in words of 64 bits, of which there are
-    at most 2 ** (MOST_BITS - 6). A fuller table lets more rows through and loses none.
+    at most 2 ** (MOST_BITS - 6). A fuller table is true for more rows and false for none of the ids.
     """
     bits = min(MOST_BITS, max(LEAST_BITS, (16 * ids.count()).bit_length()))
     place = lambda c: F.xxhash64(c).bitwiseAND(F.lit((1 << bits) - 1))
     at = place(F.col("id"))
-    words = ids.select(at.alias("at")).selectExpr("cast(shiftright(at, 6) as int) word", "shiftleft(1L, cast(at & 63 as int)) bit")
-    words = words.groupBy("word").agg(F.bit_or("bit").alias("held"))
-    rows = docs.withColumn("__at", place(F.col("doc_id"))).withColumn("__word", F.expr("cast(shiftright(__at, 6) as int)"))
-    rows = rows.join(F.broadcast(words), F.col("__word") == F.col("word"))
-    return rows.where("doc_id is not null and (held & shiftleft(1L, cast(__at & 63 as int))) <> 0").select(*docs.columns)
+    words = ids.select(at.alias("at")).selectExpr("cast(shiftright(at, 6) as int) __word", "shiftleft(1L, cast(at & 63 as int)) bit")
+    words = words.groupBy("__word").agg(F.bit_or("bit").alias("__held"))
+    marked = rows.withColumn("__at", place(F.col(key)))
+    marked = marked.join(F.broadcast(words), F.shiftright("__at", 6).cast("int") == F.col("__word"), "left")
+    return marked.withColumn("__in", F.coalesce(F.expr("(__held & shiftleft(1L, cast(__at & 63 as int))) <> 0"), F.lit(False)) & F.col(key).isNotNull())
+
+
+def parted(rows: DataFrame, key: str, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``rows`` whose ``key`` is surely not in ``ids`` (id), and those where it may be."""
+    marked = _flagged(rows, key, ids)
+    return marked.where("not __in"), marked.where("__in")
+
+
+def _needed(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text) whose doc_id is in ``ids`` (id), and a few more."""
+    return _flagged(docs, "doc_id", ids).where("__in").select("doc_id", "text")

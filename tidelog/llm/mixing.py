@@ -153,8 +153,11 @@ def mixed(docs: DataFrame, mix: Mix = PRODUCTION) -> DataFrame:
     Null texts have no tokens; a null lang or source is a name of its own with the weight ``other``; a null doc_id
     has a place in the order as well. Rows with the same doc_id in a leaf are tied: they are read together or not at
     all. Documents without tokens are read where their place falls within the prefix. An empty table gives no rows.
+    Very long texts count by their bytes like others. A column of ``docs`` that has the name of one of the three added
+    ones is replaced by it.
     """
     scratch = Scratch(docs.sparkSession, "mix")
+    docs = docs.drop("mix_domain", "mix_tokens", "mix_epoch")
     slim = docs.select(F.col("doc_id"), mix.domain(F.col("source")).alias("domain"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), tokens_of(F.col("text")).alias("tokens"))
     slim = scratch.table(slim, "slim")
     leaf = {"domain": "mix_domain", "lang": "__mix_lang", "source": "__mix_source", "tokens": "mix_tokens"}
@@ -172,6 +175,13 @@ def mixed(docs: DataFrame, mix: Mix = PRODUCTION) -> DataFrame:
     return rows.select(*docs.columns, "mix_domain", "mix_tokens", "mix_epoch")
 
 
+def mixed_rows(docs: DataFrame, mix: Mix = PRODUCTION) -> DataFrame:
+    """``docs`` as often as the mix reads each row, with the columns of ``docs`` alone, whatever these are named."""
+    own = {c: f"c{i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "text", "lang", "source")}
+    out = mixed(docs.withColumnsRenamed(own), mix)
+    return out.select(*[F.col(own.get(c, c)).alias(c) for c in docs.columns])
+
+
 def oracle(mix: Mix = PRODUCTION) -> str:
     """DuckDB SQL for doc_id, domain, lang, source, tokens, epoch of ``mixed`` over the view documents."""
 

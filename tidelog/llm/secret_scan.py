@@ -223,3 +223,13 @@ def masked(text: Column, spans: Column) -> Column:
             )).alias("out"))),
         lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["to"] + 1, F.length(text))),
     )
+
+
+def cleaned(docs: DataFrame, rate: float = RATE) -> DataFrame:
+    """``docs`` with an asterisk for each character of a secret; other columns stay, whatever they are named."""
+    spans = F.col("secret_spans")
+    new = F.when(F.size(spans) > 0, masked(F.col("text"), spans)).otherwise(F.col("text"))
+    if "secret_spans" not in docs.columns:
+        return scan(docs, rate).withColumn("text", new).select(*[F.col(f"`{c}`") for c in docs.columns])
+    held = docs.withColumnRenamed("secret_spans", "__secret_spans")
+    return cleaned(held, rate).withColumnRenamed("__secret_spans", "secret_spans")
