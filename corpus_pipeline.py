@@ -2,7 +2,7 @@
 
 The stages, in order: quality rules, n-gram Jaccard join, secret scans, mixing to target weights, packing. Each works
 on all rows that its predecessor kept, in its own operator of ``tidelog.llm``; all but the last return the columns
-that they got.
+that they got, whatever their names.
 """
 
 from __future__ import annotations
@@ -16,37 +16,45 @@ from tidelog.llm._common import Scratch
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the base rule or their language's fertility bands reject."""
-    return fertility.fertility(docs, carry=docs.columns).where("kept").select(*docs.columns)
+    return fertility.kept(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps of each group of near duplicates the row with the smallest id; of equal rows with one id, one.
 
     Rows are compared, not ids: each row gets a key, written beside it so that every later read sees the same one. A
-    null id comes after all others. Texts without words have no near duplicates, only equal rows.
+    null id comes after all others. Texts without words have no near duplicates, only equal rows. Texts aren't
+    shuffled, but for those whose key may be among the dropped ones by a bit table.
     """
-    keyed = Scratch(spark, "rows").table(docs.withColumn("__row", F.monotonically_increasing_id()), "keyed")
-    found = jaccard_join.jaccard_classes(keyed.select(F.col("__row").alias("doc_id"), "text")).select(F.col("doc_id").alias("__of"), F.col("component_id").alias("__component"))
+    row = "__row" + "_" * sum(c.startswith("__row") for c in docs.columns)
+    scratch = Scratch(spark, "rows")
+    keyed = scratch.table(docs.withColumn(row, F.monotonically_increasing_id()), "keyed")
+    found = jaccard_join.jaccard_classes(keyed.select(F.col(row).alias("doc_id"), "text")).select(F.col("doc_id").alias("of"), F.col("component_id").alias("component"))
     # what tells rows without words apart; for other rows the component does
     worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
     bare = F.when(~worded, F.struct("doc_id", F.sha2("text", 256).alias("text")))
-    rows = keyed.select("__row", "doc_id", bare.alias("__bare")).join(found, F.col("__row") == F.col("__of"))
-    group = F.when(F.col("__bare").isNull(), F.col("__component"))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "__row"))
-    keep = rows.groupBy(group.alias("__group"), "__bare").agg(first.alias("first")).select(F.col("first.__row").alias("__keep"))
-    return keyed.join(keep, F.col("__row") == F.col("__keep"), "left_semi").select(*docs.columns)
+    rows = keyed.select(F.col(row).alias("row"), F.col("doc_id").alias("id"), bare.alias("bare")).join(found, F.col("row") == F.col("of"))
+    rows = scratch.table(rows.select("row", "id", "bare", F.when(F.col("bare").isNull(), F.col("component")).alias("component")), "groups")
+    first = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "row"))
+    keep = rows.groupBy("component", "bare").agg(first.alias("first")).select(F.col("first.row").alias("keep"))
+    dropped = scratch.table(rows.join(keep, F.col("row") == F.col("keep"), "left_anti").select(F.col("row").alias("id")), "dropped")
+    sure, maybe = jaccard_join.parted(keyed, row, dropped)
+    maybe = maybe.join(dropped.withColumnRenamed("id", "__dropped"), F.col(row) == F.col("__dropped"), "left_anti")
+    return sure.select(*_all(docs)).unionAll(maybe.select(*_all(docs)))
+
+
+def _all(docs: DataFrame) -> list:
+    return [F.col(f"`{c}`") for c in docs.columns]
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Overwrites every secret's characters with asterisks; the texts keep their length, and all documents stay."""
-    spans = F.col("secret_spans")
-    found = secret_scan.scan(docs)
-    return found.withColumn("text", F.when(F.size(spans) > 0, secret_scan.masked(F.col("text"), spans)).otherwise(F.col("text"))).select(*docs.columns)
+    return secret_scan.cleaned(docs)
 
 
 def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix reads it: the budget is all tokens, two epochs at most."""
-    return mixing.mixed(docs).select(*docs.columns)
+    return mixing.mixed_rows(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
