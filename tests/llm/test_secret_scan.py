@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import string
 
 from pyspark.sql import functions as F
 
@@ -78,3 +79,79 @@ def test_battery_tests_every_long_run(spark):
         assert any(s.end == end for s in spans), name
         assert len(spans) == 1 and not [s for s in got[i].secret_spans if s.kind < 3 and s.end > spans[0].start], name
     assert not [i for i, r in got.items() if i >= len(odd) + 30 and r.secret_spans]
+
+
+def score(token):
+    """The battery's score of a token and the place of its encoding, written out."""
+    x = re.sub("[-_+/=]", "", token)
+    which = next(k for k, e in enumerate(S.ENCODINGS) if not e.pattern or re.search(e.pattern, x))
+    e = S.ENCODINGS[which]
+    x = x.lower() if e.name == "hex" else x
+    n, k = len(x), len(e.alphabet)
+    chi = sum((x.count(c) - n / k) ** 2 / (n / k) for c in e.alphabet)
+    z_chi = (n * e.excess + k - 1 - chi) / (2 * (2 * n * e.excess + k - 1)) ** 0.5
+    classes = re.sub("U(?=L)", "L", "".join(e.classes[e.alphabet.index(c)] for c in x))
+    changes = sum(a != b for a, b in zip(classes, classes[1:]))
+    z_runs = (changes - (n - 1) * S.CHANGES) / ((n - 1) * S.CHANGES * (1 - S.CHANGES)) ** 0.5
+    at = [float(e.alphabet.index(c) + 1) for c in x]
+    m = sum(at) / n
+    r = sum((a - m) * (b - m) for a, b in zip(at, at[1:])) / max(sum((a - m) ** 2 for a in at), 1e-9)
+    z_serial = (S.CORRELATION - r) * n**0.5 / (1 - S.CORRELATION**2)
+    return which, (z_chi + z_runs + z_serial) / 3**0.5
+
+
+def planted(rnd, kind, n):
+    return "".join(rnd.choice((string.digits, "0123456789ABCDEF", string.ascii_uppercase + "234567", string.ascii_letters + string.digits + "+")[kind]) for _ in range(n))
+
+
+def ordinary(rnd):
+    word = lambda: "".join(rnd.choice("ta ri mo len ver str ung ent al ic or th".split()) for _ in range(rnd.randint(2, 4)))
+    kind, k = rnd.randint(0, 5), rnd.randint(4, 6)
+    if kind == 0:
+        return word() + "".join(word().title() for _ in range(k))
+    if kind == 5:
+        return f"{rnd.randint(2000, 2030)}{rnd.randint(1, 12):02}{rnd.randint(1, 28):02}{rnd.randint(0, 9):010}"
+    return ("_", "/", "", "-")[kind - 1].join(word() for _ in range(k))
+
+
+def test_the_battery_against_its_model(spark):
+    rnd = random.Random(8)
+    tokens = [planted(rnd, i % 4, rnd.randint(16, 70)) for i in range(60)] + [ordinary(rnd) for _ in range(60)] + ["a" * 40, "0" * 16, "A-b_c/D+" * 5]
+    tokens = [t for t in tokens if len(re.sub("[-_+/=]", "", t)) >= S.LEAST_TESTED]
+    got = spark.createDataFrame([(t,) for t in tokens], "t string").select("t", S._tested_as(F.col("t")).alias("x")).collect()
+    for r in got:
+        which, z = score(r.t)
+        assert r.x.encoding == which and abs(r.x.z - z) < 1e-6 * max(1, abs(z)), r.t
+
+
+def test_planted_keys_are_found_and_ordinary_tokens_are_not(spark):
+    rnd = random.Random(4)
+    rows, where = [], {}
+    for i in range(1200):
+        text = " ".join(ordinary(rnd) for _ in range(4))
+        if i % 8 == 0:
+            kind, key = i // 8 % 4, planted(rnd, i // 8 % 4, rnd.randint(40, 64))
+            where[i] = (kind, len(text) + 5, len(text) + 5 + len(key))
+            text += f" key {key} end"
+        rows.append((i, text))
+    found, false = [0] * 4, 0
+    for r in S.scan(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect():
+        for s in r.secret_spans:
+            if s.kind == S.KINDS.index("random"):
+                kind, start, end = where.get(r.doc_id, (None, None, None))
+                right = (s.start, s.end) == (start, end)
+                false += not right
+                if right:
+                    found[kind] += 1
+    assert false <= S.RATE * sum(found)
+    assert found[3] >= 37 and found[1] >= 33 and found[2] >= 25 and sum(found) >= 100
+
+
+def test_thousands_of_spans_in_one_text(spark):
+    rnd = random.Random(2)
+    keys = [f"{rnd.getrandbits(128):032x}" for _ in range(3000)]
+    text = " ".join(keys)
+    got = S.cleaned(spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id long, text string")).collect()
+    assert [r.text for r in sorted(got)] == [" ".join("*" * 32 for _ in keys), None, ""]
+    spans = S.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().secret_spans
+    assert [(s.start, s.end) for s in spans if s.kind == 2] == [(33 * i, 33 * i + 32) for i in range(3000)]
