@@ -60,6 +60,15 @@ def test_masking_and_edges(spark):
     assert S.scan(df.limit(0)).collect() == []
 
 
+def test_extra_columns_keep_their_values(spark):
+    rnd = random.Random(3)
+    rows = [(i, f"see {key(rnd, 40)} here" if i < 20 else "the-meeting-of-the-committee", "own", f"v{i}") for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __added string, secret_spans string")
+    got = {r.doc_id: r for r in S.cleaned(df).collect()}
+    assert [r["__added"] + r.secret_spans for r in map(got.get, range(120))] == [f"ownv{i}" for i in range(120)]
+    assert sum("*" * 40 in got[i].text for i in range(20)) >= 18 and all(got[i].text == rows[i][1] for i in range(20, 120))
+
+
 def test_battery_tests_every_long_run(spark):
     rnd = random.Random(6)
     mixed = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"

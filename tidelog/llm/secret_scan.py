@@ -273,11 +273,10 @@ def scan(docs: DataFrame, rate: float = RATE) -> DataFrame:
         # binned as in the histogram, so that a token's level is the same in both passes
         told = F.filter(_candidates(text, F.col("secret_spans")), lambda c: cut.level(c["encoding"], c["bin"], c["n"]) >= cut.least)
         added = F.transform(told, lambda c: c["span"])
-        out = out.withColumn("__added", added)
         # a part of a run that is a discovery as a whole adds nothing
         inside = lambda s, o: (o["start"] <= s["start"]) & (s["end"] <= o["end"]) & (o != s)
-        whole = F.filter("__added", lambda s: ~F.exists("__added", lambda o: inside(s, o)))
-        out = out.withColumn("secret_spans", F.concat("secret_spans", whole)).drop("__added")
+        whole = _once(added, lambda every: F.filter(every, lambda s: ~F.exists(every, lambda o: inside(s, o))))
+        out = out.withColumn("secret_spans", F.concat("secret_spans", whole))
     return out.withColumn("secret_spans", F.array_sort("secret_spans"))
 
 
