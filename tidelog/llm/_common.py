@@ -10,6 +10,7 @@ import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import AtomicType
 
 #: Rows up to which a lookup table is broadcast; beyond it the large side is salted and both are shuffled.
 BROADCAST_ROWS = 200_000
@@ -87,14 +88,16 @@ def lookup_join(rows: DataFrame, table: DataFrame, keys: list[str], how: str = "
     """Join ``rows`` with a small ``table`` that has one row per key, null-safely.
 
     The table's rows are counted first. Up to ``limit`` it is broadcast; beyond, ``rows`` are salted and the table
-    is repeated per salt, so that a key with a third of all rows is spread over many tasks.
+    is repeated per salt, so that a key with a third of all rows is spread over many tasks. The salt is a hash of the
+    row's plain columns: a task that is run again after a loss sends each row where it went before.
     """
     named = {k: f"__key_{i}" for i, k in enumerate(keys)}
     table = table.withColumnsRenamed(named)
     same = [rows[k].eqNullSafe(table[v]) for k, v in named.items()]
     if table.limit(limit + 1).count() <= limit:
         return rows.join(F.broadcast(table), same, how).drop(*named.values())
-    salted = rows.withColumn("__salt", (F.rand(7) * SALTS).cast("int"))
+    plain = [f"`{f.name}`" for f in rows.schema if isinstance(f.dataType, AtomicType) and f.dataType.typeName() != "variant"]
+    salted = rows.withColumn("__salt", F.pmod(F.xxhash64(*plain), F.lit(SALTS)).cast("int"))
     spread = table.withColumn("__salt_of", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     same = [salted[k].eqNullSafe(spread[v]) for k, v in named.items()]
     return salted.join(spread, [salted["__salt"] == spread["__salt_of"], *same], how).drop("__salt", "__salt_of", *named.values())
