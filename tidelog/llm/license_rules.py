@@ -28,7 +28,7 @@ _V = r"(?: version| v)?"
 #: label; keywords; patterns of license texts; of notices and tags; of names; of bare references.
 FAMILIES: list[tuple[str, str, list[str], list[str], list[str], list[str]]] = [
     ("mit", "mit expat x11 permission warranty", [r"permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", r"the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability"], [r"(?:released|licensed|distributed|available|published|provided) under (?:the )?(?:terms of the )?(?:mit|expat|x11) licen[sc]e", r"spdx license identifier mit(?! 0)\b", r"licen[sc]e mit\b"], [r"(?:the )?mit licen[sc]e", r"expat licen[sc]e"], [r"mit licensed"]),
-    ("mit-0", "mit 0", [], [r"spdx license identifier mit 0"], [r"mit no attribution(?: licen[sc]e)?", r"mit 0 licen[sc]e"], []),
+    ("mit-0", "mit", [], [r"spdx license identifier mit 0"], [r"mit no attribution(?: licen[sc]e)?", r"mit 0 licen[sc]e"], []),
     ("apache-2", "apache apl asl", [r"licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license"], [r"licensed under (?:the )?(?:terms of the )?apache(?: software)? licen[sc]e" + _V + r" 2(?: 0)?", r"spdx license identifier apache 2 0", r"www apache org licenses license 2 0"], [r"apache(?: software)? licen[sc]e" + _V + r" 2(?: 0)?", r"apache 2(?: 0)? licen[sc]e", r"apl ?2 0", r"asl 2 0"], [r"apache 2 0"]),
     ("apache-1.1", "apache", [r"this product includes software developed by the apache software foundation"], [r"spdx license identifier apache 1 1"], [r"apache(?: software)? licen[sc]e" + _V + r" 1 1"], []),
     ("apache-1.0", "apache", [], [r"spdx license identifier apache 1 0"], [r"apache(?: software)? licen[sc]e" + _V + r" 1 0"], []),
@@ -91,7 +91,7 @@ FAMILIES: list[tuple[str, str, list[str], list[str], list[str], list[str]]] = [
     ("cecill", "cecill", [], [r"spdx license identifier cecill [12] [01]"], [r"cecill(?:" + _V + r" [12](?: [01])?)?(?: free software)? licen[sc]e"], []),
     ("beerware", "beer beerware", [r"buy me a beer in return"], [r"spdx license identifier beerware"], [r"beer ?ware licen[sc]e"], []),
     ("public-domain", "public domain", [r"placed in(?:to)? the public domain", r"dedicated to the public domain"], [r"released (?:in)?to the public domain"], [r"public domain dedication"], [r"(?:is|in) the public domain"]),
-    ("proprietary", "rights proprietary confidential end commercial", [r"proprietary and confidential unauthorized copying"], [r"all rights reserved"], [r"proprietary licen[sc]e", r"end user licen[sc]e agreement"], [r"commercial licen[sc]e"]),
+    ("proprietary", "rights proprietary confidential end commercial", [r"proprietary and confidential unauthorized copying"], [], [r"proprietary licen[sc]e", r"end user licen[sc]e agreement"], [r"commercial licen[sc]e", r"all rights reserved"]),
 ]
 
 
