@@ -5,6 +5,7 @@ import pyarrow as pa
 
 from helpers import SCHEMA
 from tidelog.llm import weak_labels as Q
+from tidelog.llm._common import sampled
 from tidelog.llm._text import Words
 
 
@@ -65,3 +66,38 @@ def test_edges(spark):
     assert len(got) == 3 and len({r.score for r in got}) == 1
     empty = df.limit(0)
     assert Q.score(empty, *Q.fit(empty)).collect() == []
+
+
+def test_kinds_of_badness_that_never_meet():
+    """Bad texts with one bad vote each are found, though all other labellers call them good."""
+    rnd = np.random.default_rng(4)
+    k, n = len(Q.LABELLERS), 20_000
+    bad = rnd.random(n) < 0.15
+    kind = rnd.choice(np.flatnonzero(Q.FALSE_ALARMS < 1), n)
+    cast = np.where(rnd.random((n, k)) < 0.98, 1, 0)
+    cast[bad, kind[bad]] = 2
+    own, count = np.unique(cast, axis=0, return_counts=True)
+    model = Q.expectation_maximisation(own, count.astype(float), false_alarms=Q.FALSE_ALARMS)
+    dropped = model.posterior(cast) < 0.5
+    assert dropped[bad].all() and dropped[~bad].mean() < 0.002
+    assert abs(model.good - 0.85) < 0.03
+
+
+def test_short_texts_are_no_bad_ones():
+    m = Q.votes(Q.measures(Words(pa.array(["This.", "In. The.", "A short note on birds."]))))
+    assert (m != 2).all()
+
+
+def test_fit_reads_no_more_rows_than_its_bound(spark):
+    df = spark.createDataFrame([(1, "one id of many rows.")] * 40 + [(i, f"text {i}. of its own") for i in range(2, 30)], "doc_id long, text string")
+    ids = df.selectExpr("doc_id as sampled").distinct()
+    held = sampled(df, ids, 20)
+    assert held.count() == 20 and held.where("sampled = 1").count() == 0
+    assert sampled(df, ids, 100).count() == 29
+    Q.fit(df, rows=20)
+
+
+def test_long_and_disguised_columns(spark):
+    long = " ".join(f"word{i}." for i in range(60_000))
+    df = spark.createDataFrame([(1, long, 0.1), (2, "a b. c d.", 0.2)], "doc_id long, text string, kept double")
+    assert {r.doc_id for r in Q.score(df, *Q.fit(df)).collect()} == {1, 2}

@@ -9,6 +9,7 @@ import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import AtomicType
 
@@ -42,11 +43,14 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a temporary one where that is unset (tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir``, or a temporary one where that is unset and Spark runs
+    on this machine alone (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         named = spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         named = tempfile.mkdtemp(prefix="tidelog-")
         spark.sparkContext.setCheckpointDir(named)
     return named
@@ -84,6 +88,15 @@ class Scratch:
             pass
 
 
+def sampled(docs: DataFrame, ids: DataFrame, rows: int) -> DataFrame:
+    """Those of ``ids`` (sampled, further columns), in the order of a hash, whose rows in ``docs`` (doc_id) are ``rows``
+    at most together. ``ids`` has at most ``rows`` rows; an id with more than what is left of ``rows`` ends the sample,
+    but one that has more than ``rows`` alone is passed over."""
+    held = docs.select("doc_id").join(F.broadcast(ids), F.col("doc_id") == F.col("sampled")).groupBy(*ids.columns).agg(F.count("*").alias("__n"))
+    order = W.orderBy(F.xxhash64("sampled"), *ids.columns).rowsBetween(W.unboundedPreceding, 0)
+    return held.where(F.col("__n") <= rows).withColumn("__sum", F.sum("__n").over(order)).where(F.col("__sum") <= rows).drop("__n", "__sum")
+
+
 def lookup_join(rows: DataFrame, table: DataFrame, keys: list[str], how: str = "inner", limit: int = BROADCAST_ROWS) -> DataFrame:
     """Join ``rows`` with a small ``table`` that has one row per key, null-safely.
 

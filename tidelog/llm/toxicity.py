@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm._common import ship
+from tidelog.llm._common import sampled, ship
 from tidelog.llm._text import LOWER, U64, Words, chunks, hashes, mix, spread, sums
 
 #: Labelled rows that the classifier is fitted on at most.
@@ -344,8 +344,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     spark = docs.sparkSession
     ship(spark)
     characters = character_model(docs)
-    sample = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).select(F.col("doc_id").alias("labelled"), F.col("toxic").cast("int").alias("toxic"))
-    sample = sample.orderBy(F.xxhash64("labelled"), "labelled", "toxic").limit(rows)
+    sample = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).select(F.col("doc_id").alias("sampled"), F.col("toxic").cast("int").alias("toxic"))
+    sample = sampled(docs, sample.distinct().orderBy(F.xxhash64("sampled"), "sampled", "toxic").limit(rows), rows)
     shared = spark.sparkContext.broadcast(characters)
 
     def spell(batches):
@@ -354,8 +354,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
             ends = np.searchsorted(row, np.arange(part.num_rows + 1))
             yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(found))], ["toxic", "words"])
 
-    # the sample has at most ``rows`` rows of 12 bytes
-    joined = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("labelled")).select("toxic", "text")
+    # the sample has at most ``rows`` rows of 12 bytes, and so many rows of ``docs`` belong to it
+    joined = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("sampled")).select("toxic", "text")
     spelled = joined.mapInArrow(spell, "toxic int, words array<long>").toArrow()
     toxic = spelled.column(0).to_numpy().astype(float)
     lists = spelled.column(1).combine_chunks()
@@ -401,7 +401,8 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
     """doc_id, held_out, score and predicted for each row of ``docs`` (doc_id, text).
 
     Null and empty texts have the score of a text without telling words. A null doc_id isn't held out. Repeated rows
-    each return a row; an empty table returns none. Nothing is shuffled.
+    each return a row, with the same score; an empty table returns none. Very long texts are scored whole, one at a
+    time. Further columns of ``docs`` are not read, whatever their names. Nothing is shuffled.
     """
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)

@@ -6,7 +6,8 @@ by class. Every pattern of votes then has a posterior, and posterior labels trai
 features of the text, which also tells apart texts that no labeller votes on.
 
 The patterns are at most 3 to the number of labellers, so the counts are small whatever the input. The scorer is
-fitted on a bounded sample, TRAIN_ROWS rows by the least hash of their ids.
+fitted on a bounded sample, TRAIN_ROWS rows by the least hash of their ids (an id with more rows than that is not
+sampled).
 """
 
 from __future__ import annotations
@@ -20,25 +21,30 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm._common import ship
+from tidelog.llm._common import sampled, ship
 from tidelog.llm._text import Words, chunks, spread, sums
 
 #: Rows that the scorer is fitted on at most, and its hashed features.
 TRAIN_ROWS, FEATURES = 8000, 1 << 14
 THRESHOLD = 0.5
-#: (name, measure, bad below, bad above, good from, good to); bounds that don't apply are None.
-LABELLERS: tuple[tuple[str, str, float | None, float | None, float, float], ...] = (
-    ("length", "words", 20, None, 50, 1e9),
-    ("symbols", "symbol_share", None, 0.10, 0.0, 0.01),
-    ("bars", "bar_share", None, 0.15, 0.0, 0.01),
-    ("capitals", "capital_share", None, 0.40, 0.0, 0.20),
-    ("repeats", "repeat_share", None, 0.30, 0.0, 0.05),
-    ("variety", "distinct_share", 0.20, None, 0.35, 1.0),
-    ("exclamations", "exclamation_share", None, 0.20, 0.0, 0.05),
-    ("word length", "mean_length", 2.5, 12.0, 3.5, 9.0),
-    ("stops", "stop_share", 0.004, None, 0.02, 0.6),
+#: (name, measure, bad below, bad above, good from, good to, the most of the good texts that it may call bad); bounds
+#: that don't apply are None. Signs, tables, shouting and stutter beyond these bounds aren't prose, so few good texts
+#: may have them; how often the other labellers err is left to the votes. A short text is no bad one.
+LABELLERS: tuple[tuple[str, str, float | None, float | None, float, float, float], ...] = (
+    ("length", "words", None, None, 50, 1e9, 1.0),
+    ("symbols", "symbol_share", None, 0.10, 0.0, 0.01, 0.002),
+    ("bars", "bar_share", None, 0.15, 0.0, 0.01, 0.002),
+    ("capitals", "capital_share", None, 0.40, 0.0, 0.20, 0.002),
+    ("repeats", "repeat_share", None, 0.30, 0.0, 0.05, 0.002),
+    ("variety", "distinct_share", 0.20, None, 0.35, 1.0, 1.0),
+    ("exclamations", "exclamation_share", None, 0.20, 0.0, 0.05, 0.002),
+    ("word length", "mean_length", 2.5, 12.0, 3.5, 9.0, 1.0),
+    ("stops", "stop_share", 0.004, None, 0.02, 1.0, 1.0),
 )
 NAMES = tuple(x[0] for x in LABELLERS)
+#: How often a labeller sees the kind of badness that it alone sees.
+SEEN = 0.9
+FALSE_ALARMS = np.array([x[6] for x in LABELLERS])
 
 
 def measures(words: Words) -> dict[str, np.ndarray]:
@@ -70,7 +76,7 @@ def measures(words: Words) -> dict[str, np.ndarray]:
 def votes(found: dict[str, np.ndarray]) -> np.ndarray:
     """A column for each labeller: 0 nothing, 1 good, 2 bad."""
     out = []
-    for _, name, low, high, good, to in LABELLERS:
+    for _, name, low, high, good, to, _ in LABELLERS:
         x = found[name]
         bad = np.zeros(len(x), bool)
         if low is not None:
@@ -87,48 +93,75 @@ def patterns(cast: np.ndarray) -> np.ndarray:
 
 @dataclass
 class LabelModel:
-    """``good``: the share of good texts; ``chances`` [class (bad, good), labeller, vote]."""
+    """``shares`` of the classes and their ``chances`` [class, labeller, vote]. Class 0 is bad in general, 1 is good;
+    further ones are bad in a way of their own, which one labeller sees and all others take for good."""
 
-    good: float
+    shares: np.ndarray
     chances: np.ndarray
 
-    def posterior(self, cast: np.ndarray) -> np.ndarray:
+    @property
+    def good(self) -> float:
+        return float(self.shares[1])
+
+    def classes(self, cast: np.ndarray) -> np.ndarray:
+        """The posterior of each class for each row of votes."""
         at = np.arange(cast.shape[1])
-        logs = np.stack([np.log(self.chances[c, at, cast]).sum(axis=1) for c in (0, 1)], axis=1) + np.log([1 - self.good, self.good])
+        logs = np.stack([np.log(x[at, cast]).sum(axis=1) for x in self.chances], axis=1) + np.log(self.shares)
         top = np.exp(logs - logs.max(axis=1, keepdims=True))
-        return top[:, 1] / top.sum(axis=1)
+        return top / top.sum(axis=1, keepdims=True)
+
+    def posterior(self, cast: np.ndarray) -> np.ndarray:
+        return self.classes(cast)[:, 1]
 
     def accuracies(self) -> dict[str, float]:
         """How often each labeller's votes are right."""
-        share = np.array([1 - self.good, self.good])
-        right = share[0] * self.chances[0, :, 2] + share[1] * self.chances[1, :, 1]
-        voted = (share[:, None] * (self.chances[:, :, 1] + self.chances[:, :, 2])).sum(axis=0)
-        return dict(zip(NAMES, (right / voted).tolist(), strict=True))
+        bad = np.arange(len(self.shares)) != 1
+        right = np.where(bad[:, None], self.chances[:, :, 2], self.chances[:, :, 1])
+        voted = self.chances[:, :, 1] + self.chances[:, :, 2]
+        return dict(zip(NAMES, ((self.shares @ right) / (self.shares @ voted)).tolist(), strict=True))
 
 
-def expectation_maximisation(cast: np.ndarray, count: np.ndarray, rounds: int = 200) -> LabelModel:
+def expectation_maximisation(cast: np.ndarray, count: np.ndarray, rounds: int = 200, false_alarms: np.ndarray | float = 1.0) -> LabelModel:
     """The label model of vote patterns ``cast`` seen ``count`` times each.
 
-    It starts from labellers that hardly ever call a good text bad, and that see one kind of badness each.
+    It starts from labellers that hardly ever call a good text bad. With ``false_alarms`` below 1 (see LABELLERS) a
+    labeller has a class of bad texts that it alone sees: there it votes bad SEEN of the time, and all others vote as
+    on good texts. Without such classes, kinds of badness that don't meet in one text can't be told from errors.
     """
     k = cast.shape[1]
-    chances = np.tile(np.array([[0.2, 0.6, 0.2], [0.2, 0.79, 0.01]])[:, None, :], (1, k, 1))
-    model = LabelModel(0.8, chances)
+    most = np.broadcast_to(np.asarray(false_alarms, float), (k,))
+    alone = np.flatnonzero(most < 1)
+    common = np.tile(np.array([[0.2, 0.6, 0.2], [0.2, 0.79, 0.01]])[:, None, :], (1, k, 1))
+    shares = np.array([0.2, 0.8, *[0.01] * len(alone)])
+
+    def model() -> LabelModel:
+        kinds = np.repeat(common[1:], len(alone), axis=0)
+        kinds[np.arange(len(alone)), alone] = [(1 - SEEN) / 2, (1 - SEEN) / 2, SEEN]
+        return LabelModel(shares / shares.sum(), np.concatenate([common, kinds]))
+
     for _ in range(rounds):
-        good = model.posterior(cast)
-        new = np.empty_like(chances)
-        for c, p in ((0, 1 - good), (1, good)):
-            weight = p * count
+        weight = model().classes(cast) * count[:, None]
+        new = np.empty_like(common)
+        for c in (0, 1):
+            # on good texts and on those with a badness that another labeller sees, a labeller votes alike
+            own = np.repeat(weight[:, [c]], k, axis=1)
+            if c == 1:
+                own += weight[:, 2:].sum(axis=1, keepdims=True)
+                own[:, alone] -= weight[:, 2:]
             for v in range(3):
                 # a few imagined rows, of votes that are right, keep the classes' names in place
-                new[c, :, v] = (weight[:, None] * (cast == v)).sum(axis=0) + (2.0 if v == 2 - c else 0.5)
+                new[c, :, v] = (own * (cast == v)).sum(axis=0) + (2.0 if v == 2 - c else 0.5)
             new[c] /= new[c].sum(axis=1, keepdims=True)
-        share = float(np.clip((good * count).sum() / count.sum(), 0.01, 0.99))
-        moved = max(abs(share - model.good), np.abs(new - model.chances).max())
-        model = LabelModel(share, new)
+        bad = np.minimum(new[1, :, 2], most)
+        new[1, :, :2] *= ((1 - bad) / (1 - new[1, :, 2]))[:, None]
+        new[1, :, 2] = bad
+        held = weight.sum(axis=0) / count.sum()
+        held = np.concatenate([np.clip(held[:2], 0.001, 0.999), np.maximum(held[2:], 1e-9)])
+        moved = max(np.abs(held - shares).max(), np.abs(new - common).max())
+        common, shares = new, held
         if moved < 1e-7:
             break
-    return model
+    return model()
 
 
 def _shape(word: bytes) -> str:
@@ -194,11 +227,12 @@ def fit(docs: DataFrame, rows: int = TRAIN_ROWS, size: int = FEATURES) -> tuple[
     seen = docs.select("text").mapInArrow(count, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).orderBy("pattern").collect()
     k = len(LABELLERS)
     if not seen:
-        return LabelModel(0.99, np.full((2, k, 3), 1 / 3)), Scorer(np.zeros(size), 5.0)
+        return LabelModel(np.array([0.01, 0.99]), np.full((2, k, 3), 1 / 3)), Scorer(np.zeros(size), 5.0)
     cast = np.array([r.pattern for r in seen])[:, None] // 3 ** np.arange(k) % 3
-    model = expectation_maximisation(cast, np.array([r.n for r in seen], float))
+    model = expectation_maximisation(cast, np.array([r.n for r in seen], float), false_alarms=FALSE_ALARMS)
 
-    sample = docs.select(F.col("doc_id").alias("sampled")).where("sampled is not null").distinct().orderBy(F.xxhash64("sampled"), "sampled").limit(rows)
+    ids = docs.select(F.col("doc_id").alias("sampled")).where("sampled is not null").distinct().orderBy(F.xxhash64("sampled"), "sampled").limit(rows)
+    sample = sampled(docs, ids, rows)
 
     def describe(batches):
         for part in chunks(batches, 0):
@@ -210,7 +244,7 @@ def fit(docs: DataFrame, rows: int = TRAIN_ROWS, size: int = FEATURES) -> tuple[
             lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x[order].astype(t))) for x, t in ((feature, np.int32), (weight, np.float32))]
             yield pa.RecordBatch.from_arrays([pa.array(patterns(votes(found)), pa.int64()), *lists], ["pattern", "feature", "weight"])
 
-    # ``rows`` ids at most are broadcast
+    # ``rows`` ids at most are broadcast, and as many rows are described
     told = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("sampled")).select("text")
     told = told.mapInArrow(describe, "pattern long, feature array<int>, weight array<float>").toArrow()
     target = model.posterior(told.column(0).to_numpy()[:, None] // 3 ** np.arange(k) % 3) if told.num_rows else np.zeros(0)
@@ -227,8 +261,9 @@ def score(docs: DataFrame, label_model: LabelModel, scorer: Scorer, threshold: f
     """doc_id, votes, weak_label, score and kept for each row of ``docs`` (doc_id, text).
 
     ``votes`` has a character for each labeller (- nothing, g good, b bad), ``weak_label`` is the posterior of good,
-    ``score`` the scorer's. Null and empty texts are scored as texts without words. Repeated rows each return a row;
-    an empty table returns none. Nothing is shuffled.
+    ``score`` the scorer's. Null and empty texts are scored as texts without words. Repeated rows each return a row,
+    with the same score; an empty table returns none. Very long texts are measured whole, one at a time. Further
+    columns of ``docs`` are not read, whatever their names. Nothing is shuffled.
     """
     ship(docs.sparkSession)
     size = len(scorer.weights)
